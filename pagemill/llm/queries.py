@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, url_filter
+from . import byte_bpe, quality_rules, token_counts, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page; the outcomes are the labels whose doc_id is the page_id."""
     outcomes = read(spark, sf_dir, "labels").selectExpr("doc_id as page_id", "quality as good")
@@ -22,9 +33,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("removed_lines")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
+    "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
     "op9_quality_rules": op9_quality_rules,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
