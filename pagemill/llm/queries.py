@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_rules, token_counts, url_filter
-from .common import read
+from . import byte_bpe, line_dedup, quality_rules, token_counts, url_filter, warc
+from .common import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), outcomes)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per removed unit, with its original offsets."""
+    return line_dedup.repeats(read(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as WARC files in the shared folder and reads them back."""
+    path = scratch(spark, "archive")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.records(spark, path).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("removed_lines")
 
@@ -42,11 +55,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_warc": op7_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op5_url_filter": url_filter.ORACLE,
+    "op6_substring_dedup": line_dedup.ORACLE,
+    "op7_warc": warc.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
