@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, quality_rules, token_counts, url_filter, warc
+from . import byte_bpe, decontaminate, line_dedup, quality_rules, token_counts, url_filter, warc
 from .common import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold."""
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("distance")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -53,6 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_decontamination": op2_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
@@ -62,6 +68,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op6_substring_dedup": line_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
