@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard_join, line_dedup, quality_rules, token_counts, url_filter, warc
+from . import byte_bpe, decontaminate, hpylm, jaccard_join, line_dedup, quality_rules, token_counts, url_filter, warc
 from .common import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(read(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items that they hold."""
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("distance")
@@ -62,6 +66,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_hpylm": op1_hpylm,
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_counts": op4_token_counts,
