@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, hpylm, jaccard_join, line_dedup, quality_rules, token_counts, url_filter, warc
+from . import byte_bpe, decontaminate, hpylm, jaccard_join, line_dedup, quality_classifier, quality_rules, token_counts, url_filter, warc
 from .common import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(spark, path).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").selectExpr("doc_id", "quality as label")
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), labels)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("removed_lines")
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op5_url_filter": op5_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_warc": op7_warc,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
