@@ -41,8 +41,9 @@ from . import blobs
 from .common import salted_join, stored
 
 N = 5
-FLUSH = 3_000_000
-BUCKET_BYTES = 64_000_000
+FLUSH = 1_500_000
+BUCKET_BYTES = 16_000_000
+LONG_LIST = 2_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 NO_ID = np.iinfo(np.int64).max
 
@@ -128,7 +129,7 @@ def _lists(t: pa.Table) -> pa.Table:
 
 def shared(docs: DataFrame, n: int = N) -> DataFrame:
     """Rows (document, bucket): set size, class representative, and shingles that other sets have too."""
-    bits = blobs.bucket_count(docs, BUCKET_BYTES).bit_length() - 1
+    bits = blobs.bucket_count(docs, BUCKET_BYTES, 64).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -167,16 +168,26 @@ def _sets(rows: DataFrame) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max("n").alias("n"), F.flatten(F.collect_list(pairs)).alias("p"), F.sum(F.size("fps")).alias("n_shared"))
         .where(4 * F.col("n_shared") >= 3 * F.col("n"))
-        .select("doc_id", "n", F.transform(F.array_sort("p"), lambda x: x["fps"]).alias("fps"))
+        .select("doc_id", "n", F.array_sort("p").alias("p"))
+        .select("doc_id", "n", F.transform("p", lambda x: x["fps"]).alias("fps"), F.transform("p", lambda x: x["dfs"]).alias("dfs"))
     )
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    """(fp, doc_id, n, pos): the prefix of each set; shingles that no other set has come first and need no entry."""
+    """(fp, df, doc_id, n, pos): the prefix of each set; shingles that no other set has come first and need no entry."""
     need = F.floor((3 * F.col("n") + 3) / 4).cast("int")
-    return sets.select("doc_id", "n", F.posexplode(F.slice("fps", 1, F.size("fps") - need + 1)).alias("i", "fp"), (F.col("n") - F.size("fps")).alias("u")).select(
-        "fp", "doc_id", "n", (F.col("u") + F.col("i")).alias("pos")
-    )
+    keep = F.size("fps") - need + 1
+    both = F.arrays_zip(F.slice("fps", 1, keep).alias("fp"), F.slice("dfs", 1, keep).alias("df"))
+    rows = sets.select("doc_id", "n", F.posexplode(both).alias("i", "x"), (F.col("n") - F.size("fps")).alias("u"))
+    return rows.select(F.col("x.fp").alias("fp"), F.col("x.df").alias("df"), "doc_id", "n", (F.col("u") + F.col("i")).alias("pos"))
+
+
+def _by_list(index: DataFrame, lists: DataFrame) -> DataFrame:
+    """Index rows with what their list has; a list is dealt over one task per ``LONG_LIST`` sets, its length being known on both sides."""
+    parts = F.ceil(F.col("df") / LONG_LIST).cast("int")
+    left = index.withColumn("__salt", F.pmod(F.hash("doc_id"), parts))
+    right = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right, ["fp", "df", "__salt"]).drop("__salt")
 
 
 def _can(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
@@ -188,7 +199,8 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Linked pairs of (a, b), with what a has more and what b has more."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("fps").alias("fa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("fps").alias("fb"))
-    full = salted_join(salted_join(pairs, b, ["b"], F.col("a")), a, ["a"], F.col("b"))
+    # Plain joins: sets are large rows not to be copied; adaptive execution splits a leader with very many pairs.
+    full = pairs.join(b, "b").join(a, "a")
     return full.where(linked(F.size(F.array_intersect("fa", "fb")), F.col("na"), F.col("nb"))).select("a", "b", F.array_except("fa", "fb").alias("plus"), F.array_except("fb", "fa").alias("minus"))
 
 
@@ -213,8 +225,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _star_round(index: DataFrame, sets: DataFrame, comp: DataFrame | None, seed: int) -> DataFrame:
     """Verified (set, leader) pairs of sets not yet in their leader's component."""
     rank = F.struct(F.xxhash64(F.lit(seed), F.col("doc_id")).alias("r"), "doc_id", "n", "pos")
-    lead = index.groupBy("fp").agg(F.min(rank).alias("l")).select("fp", F.col("l.doc_id").alias("b"), F.col("l.n").alias("nb"), F.col("l.pos").alias("pb"))
-    met = salted_join(index, lead, ["fp"], F.col("doc_id")).where((F.col("doc_id") != F.col("b")) & _can(F.col("n"), F.col("pos"), F.col("nb"), F.col("pb")))
+    lead = index.groupBy("fp", "df").agg(F.min(rank).alias("l")).select("fp", "df", F.col("l.doc_id").alias("b"), F.col("l.n").alias("nb"), F.col("l.pos").alias("pb"))
+    met = _by_list(index, lead).where((F.col("doc_id") != F.col("b")) & _can(F.col("n"), F.col("pos"), F.col("nb"), F.col("pb")))
     pairs = met.select(F.col("doc_id").alias("a"), "b").distinct()
     return _verify(_apart(pairs, comp), sets)
 
@@ -230,16 +242,15 @@ def _apart(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 def _rest(index: DataFrame, comp: DataFrame) -> DataFrame:
     """Candidate pairs (a, z) of different components, list blocks skipped by size and position."""
-    own = index.join(comp, "doc_id", "left").select("fp", "doc_id", "n", "pos", F.coalesce("comp", "doc_id").alias("comp"))
+    own = index.join(comp, "doc_id", "left").select("fp", "df", "doc_id", "n", "pos", F.coalesce("comp", "doc_id").alias("comp"))
     open_lists = own.groupBy("fp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("fp")
     own = stored(own.join(open_lists, "fp", "left_semi"), "open")
     # At most 64 parts share a very long list, so that a block stays small.
-    block = own.groupBy("fp", F.floor(F.log2("n") * 2).alias("nb"), F.floor(F.col("pos") / 8).alias("pb"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")).agg(
+    block = own.groupBy("fp", "df", F.floor(F.log2("n") * 2).alias("nb"), F.floor(F.col("pos") / 8).alias("pb"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")).agg(
         F.min("pos").alias("pos_lo"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.collect_list(F.struct("doc_id", "n", "pos", "comp")).alias("members")
     )
-    block = block.withColumnRenamed("fp", "bfp")
     best = F.least(F.col("n") - F.col("pos"), F.col("n_hi") - F.col("pos_lo"))
-    met = own.join(block, (F.col("fp") == F.col("bfp")) & (7 * best >= 3 * (F.col("n") + F.col("n_lo"))))
+    met = _by_list(own, block).where(7 * best >= 3 * (F.col("n") + F.col("n_lo")))
     pairs = met.select("doc_id", "n", "pos", "comp", F.explode("members").alias("m")).where(
         (F.col("doc_id") < F.col("m.doc_id")) & (F.col("comp") != F.col("m.comp")) & _can(F.col("n"), F.col("pos"), F.col("m.n"), F.col("m.pos"))
     )
@@ -249,7 +260,7 @@ def _rest(index: DataFrame, comp: DataFrame) -> DataFrame:
 def _from_pivots(pairs: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
     """Linked pairs (a, b) of (a, z), derived from what is known of a's pivot."""
     size = sets.select(F.col("doc_id").alias("__d"), F.col("n").alias("__n"))
-    p = salted_join(pairs, pivots, ["a"], F.col("z"), "left").withColumn("pivot", F.coalesce("pivot", "a"))
+    p = pairs.join(pivots, "a", "left").withColumn("pivot", F.coalesce("pivot", "a"))
     for c in ("plus", "minus"):
         p = p.withColumn(c, F.coalesce(c, F.array().cast("array<bigint>")))
     for c, name in (("a", "na"), ("z", "nz")):
@@ -258,12 +269,12 @@ def _from_pivots(pairs: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFr
     fp, fz = sets.select(F.col("doc_id").alias("pivot"), F.col("fps").alias("fp")), sets.select(F.col("doc_id").alias("z"), F.col("fps").alias("fz"))
     # The pivot's answers, once for all sets that have it.
     asked = p.select("pivot", "z").distinct()
-    answers = salted_join(salted_join(asked, fp, ["pivot"], F.col("z")), fz, ["z"], F.col("pivot")).select("pivot", "z", F.size(F.array_intersect("fp", "fz")).alias("known"))
-    p = salted_join(p, answers, ["pivot", "z"], F.col("a"))
+    answers = asked.join(fp, "pivot").join(fz, "z").select("pivot", "z", F.size(F.array_intersect("fp", "fz")).alias("known"))
+    p = p.join(answers, ["pivot", "z"])
     known, na, nz = F.col("known"), F.col("na"), F.col("nz")
     sure = p.where(linked(known - F.size("minus"), na, nz)).select("a", F.col("z").alias("b"))
     maybe = p.where(~linked(known - F.size("minus"), na, nz) & linked(known + F.size("plus"), na, nz))
-    exact = salted_join(maybe, fz, ["z"], F.col("a"))
+    exact = maybe.join(fz, "z")
     both = known - F.size(F.array_intersect("minus", "fz")) + F.size(F.array_intersect("plus", "fz"))
     return sure.union(exact.where(linked(both, na, nz)).select("a", F.col("z").alias("b")))
 
