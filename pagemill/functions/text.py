@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Latin letters and their Cyrillic look-alikes, for titles and for identifiers.
 TITLE_LATIN, TITLE_CYRILLIC = "aeopcxybhtmk", "аеорсхувнтмк"
@@ -20,7 +21,7 @@ def fold(s: Column) -> Column:
     return F.translate(s, TITLE_LATIN, TITLE_CYRILLIC)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition, which Spark has no function for; skip it where input is known to be composed."""
     return s.str.normalize("NFC")
@@ -62,7 +63,7 @@ def contained(a: Column, b: Column) -> Column:
     return fits & (F.contains(a, b) | F.contains(b, a))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of the sorted distinct tokens, rounded as its double stands."""
 
