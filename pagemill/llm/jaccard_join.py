@@ -301,5 +301,5 @@ def join(docs: DataFrame, n: int = N, rounds: int = 2) -> DataFrame:
 
 def clean(docs: DataFrame, **params) -> DataFrame:
     """The document with the smallest doc_id of every component, all its columns."""
-    keep = join(docs, **params).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__doc"]), "left_semi")
+    keep = join(docs, **params).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__pagemill_doc")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__pagemill_doc"]), "left_semi")

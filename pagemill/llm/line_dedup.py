@@ -78,10 +78,10 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) ->
 def clean(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """Every document, its removed units cut out; adds nothing to the columns, n_chars is counted anew."""
     sep = CUTS[unit]
-    cut = repeats(docs, unit, min_words).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("unit_no").alias("__cut"))
-    out = docs.join(cut, docs["doc_id"].eqNullSafe(cut["__doc"]), "left")
-    text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(F.split("text", sep), lambda x, i: ~F.array_contains(F.col("__cut"), i)), sep)
+    cut = repeats(docs, unit, min_words).groupBy(F.col("doc_id").alias("__pagemill_doc")).agg(F.collect_set("unit_no").alias("__pagemill_cut"))
+    out = docs.join(cut, docs["doc_id"].eqNullSafe(cut["__pagemill_doc"]), "left")
+    text = F.when(F.col("__pagemill_cut").isNull(), F.col("text")).otherwise(
+        F.array_join(F.filter(F.split("text", sep), lambda x, i: ~F.array_contains(F.col("__pagemill_cut"), i)), sep)
     )
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -105,14 +105,14 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_l
     """``base`` plus ``removed_words``, ``removed_lines`` and ``kept``."""
     lost = (
         boilerplate(docs, host, max_docs)
-        .groupBy(F.col("doc_id").alias("__doc"), "line_no")
+        .groupBy(F.col("doc_id").alias("__pagemill_doc"), "line_no")
         .agg(F.max("line_words").alias("line_words"))
-        .groupBy("__doc")
+        .groupBy("__pagemill_doc")
         .agg(F.sum("line_words").alias("removed_words"), F.array_sort(F.collect_list("line_no")).alias("removed_lines"))
     )
     b = base(docs)
     removed = F.coalesce(F.col("removed_words"), F.lit(0)).cast("long")
-    return b.join(lost, b["doc_id"].eqNullSafe(lost["__doc"]), "left").select(
+    return b.join(lost, b["doc_id"].eqNullSafe(lost["__pagemill_doc"]), "left").select(
         *b.columns,
         removed.alias("removed_words"),
         F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"),
@@ -122,11 +122,11 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_l
 
 def clean(docs: DataFrame, **params) -> DataFrame:
     """Kept documents, all their columns, with the lines above the limit cut from the text."""
-    j = judge(docs, **params).where("kept").groupBy(F.col("doc_id").alias("__doc")).agg(F.first("removed_lines").alias("__cut"))
-    text = F.when(F.size("__cut") == 0, F.col("text")).otherwise(
-        F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__cut"), i)), "\n")
+    j = judge(docs, **params).where("kept").groupBy(F.col("doc_id").alias("__pagemill_doc")).agg(F.first("removed_lines").alias("__pagemill_cut"))
+    text = F.when(F.size("__pagemill_cut") == 0, F.col("text")).otherwise(
+        F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__pagemill_cut"), i)), "\n")
     )
-    out = docs.join(j, docs["doc_id"].eqNullSafe(j["__doc"]))
+    out = docs.join(j, docs["doc_id"].eqNullSafe(j["__pagemill_doc"]))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
