@@ -112,5 +112,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+class Workspace:
+    """Tables in the shared folder that one operator call needs, gone when its result is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        self.paths.append(path)
+        schema = df.schema
+        df.write.parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` stored (it stays until Python ends), everything else deleted."""
+        done = stored(df, name)
+        for path in self.paths:
+            drop_path(self.spark, path)
+        self.paths.clear()
+        return done
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

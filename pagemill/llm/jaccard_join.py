@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import salted_join, stored
+from .common import Workspace, salted_join
 
 N = 5
 FLUSH = 1_500_000
@@ -204,19 +204,19 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.where(linked(F.size(F.array_intersect("fa", "fb")), F.col("na"), F.col("nb"))).select("a", "b", F.array_except("fa", "fb").alias("plus"), F.array_except("fb", "fa").alias("minus"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, space: Workspace) -> DataFrame:
     """(doc_id, comp) of every end of the edges (a, b); comp is the smallest id reachable.
 
     Labels sink along edges and jump to their label's label until none changes.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    both = space.store(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc_id"), F.least("a", "m").alias("comp"))
-    labels = stored(labels, "labels")
+    labels = space.store(labels, "labels")
     while True:
         near = salted_join(both, labels.select(F.col("doc_id").alias("b"), "comp"), ["b"], F.col("a")).groupBy(F.col("a").alias("doc_id")).agg(F.min("comp").alias("low"))
         sunk = labels.join(near, "doc_id").select("doc_id", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
         jump = salted_join(sunk, labels.select(F.col("doc_id").alias("comp"), F.col("comp").alias("up")), ["comp"], F.col("doc_id"))
-        done = stored(jump.select("doc_id", "old", F.least("comp", "up").alias("comp")), "labels")
+        done = space.store(jump.select("doc_id", "old", F.least("comp", "up").alias("comp")), "labels")
         labels = done.select("doc_id", "comp")
         if done.where("old <> comp").isEmpty():
             return labels
@@ -240,11 +240,11 @@ def _apart(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
     return pairs.where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).drop("ca", "cb")
 
 
-def _rest(index: DataFrame, comp: DataFrame) -> DataFrame:
+def _rest(index: DataFrame, comp: DataFrame, space: Workspace) -> DataFrame:
     """Candidate pairs (a, z) of different components, list blocks skipped by size and position."""
     own = index.join(comp, "doc_id", "left").select("fp", "df", "doc_id", "n", "pos", F.coalesce("comp", "doc_id").alias("comp"))
     open_lists = own.groupBy("fp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("fp")
-    own = stored(own.join(open_lists, "fp", "left_semi"), "open")
+    own = space.store(own.join(open_lists, "fp", "left_semi"), "open")
     # At most 64 parts share a very long list, so that a block stays small.
     block = own.groupBy("fp", "df", F.floor(F.log2("n") * 2).alias("nb"), F.floor(F.col("pos") / 8).alias("pb"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")).agg(
         F.min("pos").alias("pos_lo"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.collect_list(F.struct("doc_id", "n", "pos", "comp")).alias("members")
@@ -257,7 +257,7 @@ def _rest(index: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.select(F.col("doc_id").alias("a"), F.col("m.doc_id").alias("z")).distinct()
 
 
-def _from_pivots(pairs: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
+def _from_pivots(pairs: DataFrame, pivots: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
     """Linked pairs (a, b) of (a, z), derived from what is known of a's pivot."""
     size = sets.select(F.col("doc_id").alias("__d"), F.col("n").alias("__n"))
     p = pairs.join(pivots, "a", "left").withColumn("pivot", F.coalesce("pivot", "a"))
@@ -265,7 +265,7 @@ def _from_pivots(pairs: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFr
         p = p.withColumn(c, F.coalesce(c, F.array().cast("array<bigint>")))
     for c, name in (("a", "na"), ("z", "nz")):
         p = salted_join(p, size.select(F.col("__d").alias(c), F.col("__n").alias(name)), [c], F.struct("a", "z"))
-    p = stored(p, "rest")
+    p = space.store(p, "rest")
     fp, fz = sets.select(F.col("doc_id").alias("pivot"), F.col("fps").alias("fp")), sets.select(F.col("doc_id").alias("z"), F.col("fps").alias("fz"))
     # The pivot's answers, once for all sets that have it.
     asked = p.select("pivot", "z").distinct()
@@ -281,22 +281,22 @@ def _from_pivots(pairs: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFr
 
 def join(docs: DataFrame, n: int = N, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows = stored(shared(docs, n), "shared")
-    sets = stored(_sets(rows), "sets")
-    index = stored(_index(sets), "index")
+    space = Workspace(docs.sparkSession)
+    rows = space.store(shared(docs, n), "shared")
+    sets = space.store(_sets(rows), "sets")
+    index = space.store(_index(sets), "index")
     edges = comp = None
     for seed in range(rounds):
-        found = stored(_star_round(index, sets, comp, seed), "stars")
+        found = space.store(_star_round(index, sets, comp, seed), "stars")
         edges = found if edges is None else edges.union(found)
-        comp = components(edges)
+        comp = components(edges, space)
     pivots = edges.groupBy("a").agg(F.min(F.struct(F.size("plus") + F.size("minus"), "b", "plus", "minus")).alias("p")).select("a", F.col("p.b").alias("pivot"), "p.plus", "p.minus")
-    rest = _from_pivots(_rest(index, comp), pivots, sets)
-    rest = stored(rest, "links")
+    rest = space.store(_from_pivots(_rest(index, comp, space), pivots, sets, space), "links")
     if not rest.isEmpty():
-        comp = components(edges.select("a", "b").union(rest))
+        comp = components(edges.select("a", "b").union(rest), space)
     every = rows.where("home").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "rep")
     out = salted_join(every, comp.select(F.col("doc_id").alias("rep"), "comp"), ["rep"], F.col("doc_id"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+    return space.finish(out.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id")), "components")
 
 
 def clean(docs: DataFrame, **params) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, salted_join, stored
+from .common import LOWER, UPPER, Workspace, salted_join
 
 MIN_WORDS = 10
 _LOW = str.maketrans(UPPER, LOWER)
@@ -63,7 +63,8 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> Da
 
 def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per removed unit: its document and offsets, and where the kept occurrence stands."""
-    u = stored(units(docs, unit, min_words), "units")
+    space = Workspace(docs.sparkSession)
+    u = space.store(units(docs, unit, min_words), "units")
     first = (
         u.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "unit_no", "start")).alias("kept"))
@@ -72,7 +73,7 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) ->
     )
     hit = salted_join(u, first, ["digest"], F.struct("doc_id", "unit_no"))
     later = ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("unit_no") == F.col("__no")))
-    return hit.where(later).select("doc_id", "unit_no", "start", "end", "n_words", "kept_doc_id", "kept_start")
+    return space.finish(hit.where(later).select("doc_id", "unit_no", "start", "end", "n_words", "kept_doc_id", "kept_start"), "repeats")
 
 
 def clean(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
