@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard self-join with set-relation skipping.
 
 Sets are the distinct five-word shingles of a text (a shorter text is one
-shingle), as 64-bit hashes; two link when 100 * |A n B| >= 75 * |A u B|.
+shingle), as 48-bit hashes (two texts of 500 words mistake a shingle once in 10^9
+pairs); two link when 100 * |A n B| >= 75 * |A u B|.
 
 1. *Lists.*  Each task packs (hash, document) postings by hash bucket.  A bucket
    holds whole inverted lists: equal sets (same 128-bit digest) collapse into the
@@ -11,12 +12,13 @@ shingle), as 64-bit hashes; two link when 100 * |A n B| >= 75 * |A u B|.
    is out.  Others enter the index with the rare end of their shingles only
    (prefix), in blocks by size and position; a block is skipped as a whole if its
    best possible overlap is too small.
-3. *Stars.*  In each list every set is verified against one leader, chosen anew
-   per round, not against all.  A verified set keeps its leader as pivot together
-   with their two differences.
+3. *Stars.*  In each list every set is compared with one leader, not with all.
+   A set keeps its leader as pivot, linked or not, with their two differences.
 4. *Answer-level skipping.*  Pairs still in different components are settled from
-   the pivot's answers: |x n z| is |p n z| - |(p-x) n z| + |(x-p) n z|, and often
-   the sizes of the differences decide without looking at z at all.
+   the pivot's answers.  Under one pivot the differences alone give the overlap,
+   and only pairs that can link by it are made; otherwise |x n z| is
+   |p n z| - |(p-x) n z| + |(x-p) n z|, and often the sizes of the differences
+   decide without looking at z at all.
 
 Pairs within a component are never enumerated; every link between components is
 found, so components are exact.
@@ -44,6 +46,7 @@ N = 5
 FLUSH = 1_500_000
 BUCKET_BYTES = 16_000_000
 LONG_LIST = 2_000
+HASH_BITS = 48
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 NO_ID = np.iinfo(np.int64).max
 
@@ -57,7 +60,7 @@ def shingle_set(text: str | None, n: int = N) -> np.ndarray:
     s = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
         s += w[i : len(w) - k + 1 + i] * _C[i % len(_C)] ** np.uint64(1 + i // len(_C))
-    return np.unique(blobs.mix(s))
+    return np.unique(blobs.mix(s) >> np.uint64(64 - HASH_BITS))
 
 
 def _pack(ids: list[int], sets: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
@@ -68,8 +71,8 @@ def _pack(ids: list[int], sets: list[np.ndarray], bits: int) -> Iterator[tuple[i
     owner = np.repeat(np.arange(len(ids)), sizes)
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
-    bucket = (every >> np.uint64(64 - bits)).astype(np.int64)
-    home = np.array([int(s[0] >> np.uint64(64 - bits)) if len(s) else 0 for s in sets], np.int64)
+    bucket = (every >> np.uint64(HASH_BITS - bits)).astype(np.int64)
+    home = np.array([int(s[0] >> np.uint64(HASH_BITS - bits)) if len(s) else 0 for s in sets], np.int64)
     edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
     ids_ = np.array(ids, np.int64)
     for b in range(1 << bits):
@@ -170,16 +173,18 @@ def _sets(rows: DataFrame) -> DataFrame:
         .where(4 * F.col("n_shared") >= 3 * F.col("n"))
         .select("doc_id", "n", F.array_sort("p").alias("p"))
         .select("doc_id", "n", F.transform("p", lambda x: x["fps"]).alias("fps"), F.transform("p", lambda x: x["dfs"]).alias("dfs"))
+        # How common its shingles are: an original has more of them in common than any of its edited copies.
+        .withColumn("hub", F.aggregate("dfs", F.lit(0).cast("long"), lambda a, x: a + x) / F.col("n"))
     )
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    """(fp, df, doc_id, n, pos): the prefix of each set; shingles that no other set has come first and need no entry."""
+    """(fp, df, doc_id, n, hub, pos): the prefix of each set; shingles that no other set has come first and need no entry."""
     need = F.floor((3 * F.col("n") + 3) / 4).cast("int")
     keep = F.size("fps") - need + 1
     both = F.arrays_zip(F.slice("fps", 1, keep).alias("fp"), F.slice("dfs", 1, keep).alias("df"))
-    rows = sets.select("doc_id", "n", F.posexplode(both).alias("i", "x"), (F.col("n") - F.size("fps")).alias("u"))
-    return rows.select(F.col("x.fp").alias("fp"), F.col("x.df").alias("df"), "doc_id", "n", (F.col("u") + F.col("i")).alias("pos"))
+    rows = sets.select("doc_id", "n", "hub", F.posexplode(both).alias("i", "x"), (F.col("n") - F.size("fps")).alias("u"))
+    return rows.select(F.col("x.fp").alias("fp"), F.col("x.df").alias("df"), "doc_id", "n", "hub", (F.col("u") + F.col("i")).alias("pos"))
 
 
 def _by_list(index: DataFrame, lists: DataFrame) -> DataFrame:
@@ -195,13 +200,17 @@ def _can(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     return linked(F.least(n1 - p1, n2 - p2), n1, n2)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Linked pairs of (a, b), with what a has more and what b has more."""
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) with the overlap, what a has more, what b has more, and whether they link."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("fps").alias("fa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("fps").alias("fb"))
+    b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("hub").alias("hub"), F.col("fps").alias("fb"))
     # Plain joins: sets are large rows not to be copied; adaptive execution splits a leader with very many pairs.
-    full = pairs.join(b, "b").join(a, "a")
-    return full.where(linked(F.size(F.array_intersect("fa", "fb")), F.col("na"), F.col("nb"))).select("a", "b", F.array_except("fa", "fb").alias("plus"), F.array_except("fb", "fa").alias("minus"))
+    full = pairs.join(b, "b").join(a, "a").withColumn("plus", F.array_except("fa", "fb"))
+    both = F.size("fa") - F.size("plus")
+    full = full.withColumn("both", both).withColumn("link", linked(both, F.col("na"), F.col("nb")))
+    # Half in common makes a pivot; of others only the answer is kept.
+    near = 2 * F.col("both") >= F.col("na")
+    return full.select("a", "b", "na", "hub", "both", "link", F.when(near, F.col("plus")).alias("plus"), F.when(near, F.array_except("fb", "fa")).alias("minus"))
 
 
 def components(edges: DataFrame, space: Workspace) -> DataFrame:
@@ -222,49 +231,91 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
             return labels
 
 
-def _star_round(index: DataFrame, sets: DataFrame, comp: DataFrame | None, seed: int) -> DataFrame:
-    """Verified (set, leader) pairs of sets not yet in their leader's component."""
-    rank = F.struct(F.xxhash64(F.lit(seed), F.col("doc_id")).alias("r"), "doc_id", "n", "pos")
-    lead = index.groupBy("fp", "df").agg(F.min(rank).alias("l")).select("fp", "df", F.col("l.doc_id").alias("b"), F.col("l.n").alias("nb"), F.col("l.pos").alias("pb"))
-    met = _by_list(index, lead).where((F.col("doc_id") != F.col("b")) & _can(F.col("n"), F.col("pos"), F.col("nb"), F.col("pb")))
-    pairs = met.select(F.col("doc_id").alias("a"), "b").distinct()
-    return _verify(_apart(pairs, comp), sets)
+def _star_round(index: DataFrame, sets: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Every set compared with one leader in each of its lists: the one with the most common shingles.
 
+    Later rounds take lists of several components and lead with the best set
+    outside the first leader's component.
+    """
+    best = F.max(F.struct("hub", "doc_id", "n", "pos", "comp"))
+    own = index.withColumn("comp", F.col("doc_id")) if comp is None else index.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    lead = own.groupBy("fp", "df").agg(best.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    if comp is not None:
+        rest = _by_list(own, lead.select("fp", "df", F.col("l.comp").alias("first"))).where(F.col("comp") != F.col("first"))
+        lead = rest.groupBy("fp", "df").agg(best.alias("l"))
+    lead = lead.select("fp", "df", F.col("l.doc_id").alias("b"), F.col("l.n").alias("nb"), F.col("l.pos").alias("pb"), F.col("l.comp").alias("cb"))
+    met = _by_list(own, lead).where((F.col("doc_id") != F.col("b")) & (F.col("comp") != F.col("cb")) & _can(F.col("n"), F.col("pos"), F.col("nb"), F.col("pb")))
+    return _compare(met.select(F.col("doc_id").alias("a"), "b").distinct(), sets)
+
+
+def _pivots(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per set (doc_id): pivot, both, plus, minus; of several the most common leader, without one itself."""
+    best = F.max_by(F.struct("b", "both", "plus", "minus"), F.struct("hub", "b"))
+    led = stars.where("plus is not null").groupBy("a").agg(best.alias("p"))
+    none = F.array().cast("array<bigint>")
+    # A leader stays its own pivot, so that its followers and it are one group.
+    lead = stars.select(F.col("b").alias("doc_id")).distinct().withColumn("leads", F.lit(True))
+    j = sets.select("doc_id", "n", F.size("fps").alias("m")).join(led.withColumnRenamed("a", "doc_id"), "doc_id", "left").join(lead, "doc_id", "left")
+    own = F.col("p").isNull() | F.coalesce("leads", F.lit(False))
+    return j.select(
+        "doc_id", "n", "m", F.when(own, F.col("doc_id")).otherwise(F.col("p.b")).alias("pivot"), F.when(own, F.col("m")).otherwise(F.col("p.both")).alias("both"),
+        F.when(own, none).otherwise(F.col("p.plus")).alias("plus"), F.when(own, none).otherwise(F.col("p.minus")).alias("minus"),
+    )
 
-def _apart(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) whose components differ."""
-    if comp is None:
-        return pairs
-    for c in ("a", "b"):
-        pairs = pairs.join(comp.select(F.col("doc_id").alias(c), F.col("comp").alias(f"c{c}")), c, "left")
-    return pairs.where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).drop("ca", "cb")
 
+def _within(groups: DataFrame) -> DataFrame:
+    """Links (a, b) between components inside pivot groups, from the members' differences alone.
 
-def _rest(index: DataFrame, comp: DataFrame, space: Workspace) -> DataFrame:
-    """Candidate pairs (a, z) of different components, list blocks skipped by size and position."""
-    own = index.join(comp, "doc_id", "left").select("fp", "df", "doc_id", "n", "pos", F.coalesce("comp", "doc_id").alias("comp"))
-    open_lists = own.groupBy("fp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("fp")
-    own = space.store(own.join(open_lists, "fp", "left_semi"), "open")
+    Members x, z of pivot p have |p| - |(p-x) u (p-z)| + |(x-p) n (z-p)| in common.
+    They link only if they share a shingle that p lacks, or if |p n x| and |p n z|
+    both are enough for their sizes; only such pairs are made, and only of members
+    outside the pivot's component with others, not of the many inside with each other.
+    """
+    cols = ["doc_id", "n", "both", "comp", "plus", "minus"]
+    left = groups.select("pivot", *[F.col(c).alias(f"x_{c}") for c in cols], "m_pivot")
+    small = groups.select("pivot", "doc_id", "n", "both", "comp", F.size("plus").alias("k"))
+    enough = lambda c: 7 * F.col(c) >= 3 * (F.col("n") + F.col("n2"))
+    other = small.select("pivot", F.col("doc_id").alias("z"), F.col("n").alias("n2"), F.col("both").alias("both2"), F.col("comp").alias("comp2"), F.col("k").alias("k2"))
+    # By size: x offers itself under every size that its overlap with the pivot allows a partner.
+    reach = F.floor((7 * F.col("both") - 3 * F.col("n")) / 3).cast("int")
+    low = F.ceil(0.75 * F.col("n")).cast("int")
+    outside = groups.where("comp <> comp_pivot").select("doc_id")
+    offers = small.where(reach >= low).join(outside, "doc_id", "left_semi").select("*", F.explode(F.sequence(low, F.least(reach, F.floor(F.col("n") / 0.75).cast("int")))).alias("n2"))
+    sized = offers.join(other, ["pivot", "n2"]).where((F.col("comp") != F.col("comp2")) & enough("both2"))
+    # By a shingle that the pivot lacks.
+    odd = groups.select("pivot", "doc_id", "n", "both", "comp", F.size("plus").alias("k"), F.explode("plus").alias("fp"))
+    odd2 = odd.select("pivot", "fp", F.col("doc_id").alias("z"), F.col("n").alias("n2"), F.col("both").alias("both2"), F.col("comp").alias("comp2"), F.col("k").alias("k2"))
+    bound = 7 * (F.least("both", "both2") + F.least("k", "k2")) >= 3 * (F.col("n") + F.col("n2"))
+    odd_pairs = odd.join(outside, "doc_id", "left_semi").join(odd2, ["pivot", "fp"]).where((F.col("comp") != F.col("comp2")) & bound)
+    ends = ["pivot", F.least("doc_id", "z").alias("x_doc_id"), F.greatest("doc_id", "z").alias("z")]
+    pairs = sized.select(*ends).union(odd_pairs.select(*ends)).distinct()
+    z = groups.select("pivot", F.col("doc_id").alias("z"), F.col("n").alias("z_n"), F.col("plus").alias("z_plus"), F.col("minus").alias("z_minus"))
+    full = pairs.join(left, ["pivot", "x_doc_id"]).join(z, ["pivot", "z"])
+    both = F.col("m_pivot") - F.size(F.array_union("x_minus", "z_minus")) + F.size(F.array_intersect("x_plus", "z_plus"))
+    return full.where(linked(both, F.col("x_n"), F.col("z_n"))).select(F.col("x_doc_id").alias("a"), F.col("z").alias("b"))
+
+
+def _across(index: DataFrame, groups: DataFrame, space: Workspace) -> DataFrame:
+    """Candidate pairs (a, z) of different components and pivots, list blocks skipped by size and position."""
+    own = index.join(groups.select("doc_id", "comp", "pivot"), "doc_id")
+    open_lists = own.groupBy("fp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("pivot").alias("p0"), F.max("pivot").alias("p1")).where("lo <> hi and p0 <> p1").select("fp")
+    own = space.store(own.join(open_lists, "fp", "left_semi").drop("hub"), "open")
     # At most 64 parts share a very long list, so that a block stays small.
-    block = own.groupBy("fp", "df", F.floor(F.log2("n") * 2).alias("nb"), F.floor(F.col("pos") / 8).alias("pb"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")).agg(
+    block = own.groupBy("fp", "df", "pivot", F.floor(F.log2("n") * 2).alias("nb"), F.floor(F.col("pos") / 8).alias("pb"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")).agg(
         F.min("pos").alias("pos_lo"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.collect_list(F.struct("doc_id", "n", "pos", "comp")).alias("members")
     )
+    block = block.withColumnRenamed("pivot", "pivot2")
     best = F.least(F.col("n") - F.col("pos"), F.col("n_hi") - F.col("pos_lo"))
-    met = _by_list(own, block).where(7 * best >= 3 * (F.col("n") + F.col("n_lo")))
-    pairs = met.select("doc_id", "n", "pos", "comp", F.explode("members").alias("m")).where(
-        (F.col("doc_id") < F.col("m.doc_id")) & (F.col("comp") != F.col("m.comp")) & _can(F.col("n"), F.col("pos"), F.col("m.n"), F.col("m.pos"))
-    )
+    met = _by_list(own, block).where((F.col("pivot") != F.col("pivot2")) & (7 * best >= 3 * (F.col("n") + F.col("n_lo"))))
+    fits = lambda m: (F.col("doc_id") < m["doc_id"]) & (F.col("comp") != m["comp"]) & _can(F.col("n"), F.col("pos"), m["n"], m["pos"])
+    pairs = met.select("doc_id", F.explode(F.filter("members", fits)).alias("m"))
     return pairs.select(F.col("doc_id").alias("a"), F.col("m.doc_id").alias("z")).distinct()
 
 
-def _from_pivots(pairs: DataFrame, pivots: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
+def _from_pivots(pairs: DataFrame, groups: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
     """Linked pairs (a, b) of (a, z), derived from what is known of a's pivot."""
-    size = sets.select(F.col("doc_id").alias("__d"), F.col("n").alias("__n"))
-    p = pairs.join(pivots, "a", "left").withColumn("pivot", F.coalesce("pivot", "a"))
-    for c in ("plus", "minus"):
-        p = p.withColumn(c, F.coalesce(c, F.array().cast("array<bigint>")))
-    for c, name in (("a", "na"), ("z", "nz")):
-        p = salted_join(p, size.select(F.col("__d").alias(c), F.col("__n").alias(name)), [c], F.struct("a", "z"))
+    mine = groups.select(F.col("doc_id").alias("a"), "pivot", F.col("n").alias("na"), "plus", "minus")
+    p = pairs.join(mine, "a").join(sets.select(F.col("doc_id").alias("z"), F.col("n").alias("nz")), "z")
     p = space.store(p, "rest")
     fp, fz = sets.select(F.col("doc_id").alias("pivot"), F.col("fps").alias("fp")), sets.select(F.col("doc_id").alias("z"), F.col("fps").alias("fz"))
     # The pivot's answers, once for all sets that have it.
@@ -285,15 +336,19 @@ def join(docs: DataFrame, n: int = N, rounds: int = 2) -> DataFrame:
     rows = space.store(shared(docs, n), "shared")
     sets = space.store(_sets(rows), "sets")
     index = space.store(_index(sets), "index")
-    edges = comp = None
-    for seed in range(rounds):
-        found = space.store(_star_round(index, sets, comp, seed), "stars")
-        edges = found if edges is None else edges.union(found)
-        comp = components(edges, space)
-    pivots = edges.groupBy("a").agg(F.min(F.struct(F.size("plus") + F.size("minus"), "b", "plus", "minus")).alias("p")).select("a", F.col("p.b").alias("pivot"), "p.plus", "p.minus")
-    rest = space.store(_from_pivots(_rest(index, comp, space), pivots, sets, space), "links")
+    stars = comp = None
+    for _ in range(rounds):
+        found = space.store(_star_round(index, sets, comp), "stars")
+        stars = found if stars is None else stars.union(found)
+        comp = components(stars.where("link"), space)
+    groups = _pivots(stars, sets).join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    groups = groups.join(sets.select(F.col("doc_id").alias("pivot"), F.size("fps").alias("m_pivot")), "pivot")
+    groups = groups.join(comp.select(F.col("doc_id").alias("pivot"), F.col("comp").alias("comp_pivot")), "pivot", "left")
+    groups = space.store(groups.withColumn("comp_pivot", F.coalesce("comp_pivot", "pivot")), "groups")
+    rest = _within(groups).union(_from_pivots(_across(index, groups, space), groups, sets, space))
+    rest = space.store(rest, "links")
     if not rest.isEmpty():
-        comp = components(edges.select("a", "b").union(rest), space)
+        comp = components(stars.where("link").select("a", "b").union(rest), space)
     every = rows.where("home").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "rep")
     out = salted_join(every, comp.select(F.col("doc_id").alias("rep"), "comp"), ["rep"], F.col("doc_id"), "left")
     return space.finish(out.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id")), "components")
