@@ -37,6 +37,7 @@ from .common import salted_join, stored
 
 MAGIC = "WARC/1.0\r\n"
 REVISIT_BYTES = 1000
+BROADCAST_REVISITS = 100_000
 EOL = "\r\n"
 
 
@@ -57,7 +58,11 @@ def plan_records(pages: DataFrame) -> DataFrame:
     )
     # Only members of repeated payloads meet the groups, without their payloads.
     members = salted_join(p.select("page_id", "digest", "payload_bytes").where(F.col("payload_bytes") >= REVISIT_BYTES), groups, ["digest"], F.col("page_id"))
+    # Payloads stay where they are while the revisits, counted first, are few; else they are joined by shuffle.
     refers = members.where(~F.col("page_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("page_id").alias("__page"), F.col("digest").alias("__digest")).agg(F.max("keeper").alias("refers_to"))
+    refers = stored(refers, "revisits")
+    if refers.count() <= BROADCAST_REVISITS:
+        refers = F.broadcast(refers)
     on = F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest"))
     return p.join(refers, on, "left").drop("__page", "__digest")
 
