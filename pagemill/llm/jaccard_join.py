@@ -253,10 +253,8 @@ def _pivots(stars: DataFrame, sets: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("b", "both", "plus", "minus"), F.struct("hub", "b"))
     led = stars.where("plus is not null").groupBy("a").agg(best.alias("p"))
     none = F.array().cast("array<bigint>")
-    # A leader stays its own pivot, so that its followers and it are one group.
-    lead = stars.select(F.col("b").alias("doc_id")).distinct().withColumn("leads", F.lit(True))
-    j = sets.select("doc_id", "n", F.size("fps").alias("m")).join(led.withColumnRenamed("a", "doc_id"), "doc_id", "left").join(lead, "doc_id", "left")
-    own = F.col("p").isNull() | F.coalesce("leads", F.lit(False))
+    j = sets.select("doc_id", "n", F.size("fps").alias("m")).join(led.withColumnRenamed("a", "doc_id"), "doc_id", "left")
+    own = F.col("p").isNull()
     return j.select(
         "doc_id", "n", "m", F.when(own, F.col("doc_id")).otherwise(F.col("p.b")).alias("pivot"), F.when(own, F.col("m")).otherwise(F.col("p.both")).alias("both"),
         F.when(own, none).otherwise(F.col("p.plus")).alias("plus"), F.when(own, none).otherwise(F.col("p.minus")).alias("minus"),
@@ -300,8 +298,8 @@ def _across(index: DataFrame, groups: DataFrame, space: Workspace) -> DataFrame:
     own = index.join(groups.select("doc_id", "comp", "pivot"), "doc_id")
     open_lists = own.groupBy("fp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("pivot").alias("p0"), F.max("pivot").alias("p1")).where("lo <> hi and p0 <> p1").select("fp")
     own = space.store(own.join(open_lists, "fp", "left_semi").drop("hub"), "open")
-    # At most 64 parts share a very long list, so that a block stays small.
-    block = own.groupBy("fp", "df", "pivot", F.floor(F.log2("n") * 2).alias("nb"), F.floor(F.col("pos") / 8).alias("pb"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")).agg(
+    # A very long list has a part for each LONG_LIST of its sets, so that a block stays bounded.
+    block = own.groupBy("fp", "df", "pivot", F.floor(F.log2("n") * 2).alias("nb"), F.floor(F.col("pos") / 8).alias("pb"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / LONG_LIST)).alias("part")).agg(
         F.min("pos").alias("pos_lo"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.collect_list(F.struct("doc_id", "n", "pos", "comp")).alias("members")
     )
     block = block.withColumnRenamed("pivot", "pivot2")
