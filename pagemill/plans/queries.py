@@ -309,7 +309,7 @@ def _nomenclature(spark, sf) -> DataFrame:
 
 def _titles(spark, sf) -> DataFrame:
     """Noisy names: a letter dropped, an identifier added, two words only, or a word of a page."""
-    p = table(spark, sf, "part").where("p_partkey < 400")
+    p = table(spark, sf, "part")
     full = F.concat_ws(" ", "p_name", "p_type")
     k = F.col("p_partkey") % 4
     noisy = F.when(k == 0, full).when(k == 1, F.concat(F.substring(full, 1, 3), F.expr("substring(concat_ws(' ', p_name, p_type), 5)"))).when(k == 2, F.concat(full, F.lit(" №12/3"))).otherwise(F.col("p_name"))

@@ -11,6 +11,7 @@ from pagemill.operators import matching as M
 from pagemill.operators import scoring as S
 from pagemill.operators import truth as R
 from pagemill.plans import decision as D
+from pagemill.plans import queries as Q
 from pagemill.sources import readers, sinks
 from pagemill.streaming import ingest
 
@@ -82,6 +83,31 @@ def test_empty_title_has_first_entry(spark):
     assert got["Paзpeз"] == ("разрез", "MATCH")
 
 
+def test_titles_of_all_parts(spark, tmp_path):
+    """Every part's title is matched, whatever its key; scores against plain Python."""
+    names = [("ring", "steel"), ("bolt", "brass large"), ("gear", "tin small"), ("axle", "steel large")]
+    parts = [(k, *names[i % 4]) for i, k in enumerate([1, 398, 399, 400, 401, 402, 403, 5000, 19999])]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    full = {k: f"{n} {t}" for k, n, t in parts}
+    noisy = {(f, f[:3] + f[4:], f + " №12/3", f.split()[0])[k % 4] for k, f in full.items()}
+    squash = lambda s: "".join(w for w in s.split() if not set("0123456789№#") & set(w)).translate(str.maketrans(T.TITLE_LATIN, T.TITLE_CYRILLIC))
+    tri = lambda s: {f"  {s} "[i : i + 3] for i in range(len(s) + 1)}
+
+    def rank(title, idx, name):
+        q, e = squash(title), squash(name)
+        short, long = sorted((len(q), len(e)))
+        return (q == e, short >= 5 and short >= 0.45 * long and (q in e or e in q), len(tri(q) & tri(e)) / len(tri(q) | tri(e)), -idx)
+
+    kinds = list(enumerate(sorted(set(full.values())), 1))
+    want = {t: [n for _, n in sorted(kinds, key=lambda x: rank(t, *x), reverse=True)[:3]] for t in noisy}
+    got = {}
+    for r in sorted(Q.title_topk(spark, str(tmp_path)).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["title"], []).append(r["name"])
+    assert got == want
+    assert {r["title"]: r["name"] for r in Q.title_best_match(spark, str(tmp_path)).collect()} == {t: n[0] for t, n in want.items()}
+    assert {r["title"] for r in Q.title_best_match_full(spark, str(tmp_path)).collect()} == noisy
+
+
 def fold(rows, total):
     """Page by page, as a state machine: starts and the best (conf, signal) per end page."""
     starts, best, chain = [1], {}, False
