@@ -6,8 +6,14 @@ are grouped over all documents; the occurrence with the smallest (doc_id, unit)
 stays and every other is removed.  Removals keep the unit's offsets in the
 original text, in code points, end exclusive.
 
-Units of fewer than ``MIN_WORDS`` words are left alone, as short lines repeat by
-chance.  Counting is pre-aggregated before its shuffle and a very frequent unit's
+A unit of fewer than ``MIN_WORDS`` words repeats by chance, so it is not hashed
+alone but with its neighbours: the shortest run of units from it, and the one up
+to it, of ``MIN_WORDS`` words together (blank units don't count).  Any repeated
+run of whole units with so many words is covered by such runs, so a repeated
+passage goes whatever its line length.  Each removed unit has an equal one that
+stands earlier; where a run overlaps its own copy, one period stays.
+
+Counting is pre-aggregated before its shuffle and a very frequent unit's
 occurrences are dealt over salted keys.
 
 Defined results: null and empty texts have no units; a unit repeated inside one
@@ -34,31 +40,60 @@ CUTS = {"line": "\n", "paragraph": "\n\n"}
 
 
 def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, unit_no (0-based), start, end, n_words and digest of every unit long enough."""
+    """doc_id and digest of every unit long enough and of every run round a short one.
+
+    nos (0-based), starts, ends and sizes (words) are those of the unit, or of the run's short units.
+    """
     sep = CUTS[unit]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, which, starts, ends, sizes, digests = [], [], [], [], [], []
+
+            def add(row, found, text):
+                ids.append(row)
+                which.append([x[0] for x in found])
+                starts.append([x[1] for x in found])
+                ends.append([x[2] for x in found])
+                sizes.append([x[3] for x in found])
+                digests.append(xxhash.xxh3_128_digest(text.encode()))
+
             for row, text in enumerate(b.column("text").to_pylist()):
-                at = 0
+                at, full, short = 0, [], []
                 for no, u in enumerate((text or "").split(sep)):
-                    ws = _SPACE.split(u.translate(_LOW).strip(" \t\n\x0b\x0c\r")) if len(u) >= 2 * min_words - 1 else ()
-                    if len(ws) >= min_words:
-                        ids.append(row)
-                        which.append(no)
-                        starts.append(at)
-                        ends.append(at + len(u))
-                        sizes.append(len(ws))
-                        digests.append(xxhash.xxh3_128_digest(" ".join(ws).encode()))
+                    bare = u.translate(_LOW).strip(" \t\n\x0b\x0c\r")
+                    if bare:
+                        ws = _SPACE.split(bare)
+                        x = (no, at, at + len(u), len(ws), " ".join(ws))
+                        if len(ws) >= min_words:
+                            add(row, [x], x[4])
+                        else:
+                            short.append(len(full))
+                        full.append(x)
                     at += len(u) + len(sep)
+                spans = set()
+                for i in short:
+                    a, z, n = i, i, 0
+                    while z < len(full) and n < min_words:
+                        n += full[z][3]
+                        z += 1
+                    if n >= min_words:
+                        spans.add((i, z))
+                    n = 0
+                    while a >= 0 and n < min_words:
+                        n += full[a][3]
+                        a -= 1
+                    if n >= min_words:
+                        spans.add((a + 1, i + 1))
+                for a, z in sorted(spans):
+                    add(row, [x for x in full[a:z] if x[3] < min_words], "\n".join(x[4] for x in full[a:z]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(ids, pa.int64())), *[pa.array(x, pa.int32()) for x in (which, starts, ends, sizes)], pa.array(digests, pa.binary())],
-                ["doc_id", "unit_no", "start", "end", "n_words", "digest"],
+                [b.column("doc_id").take(pa.array(ids, pa.int64())), *[pa.array(x, pa.list_(pa.int32())) for x in (which, starts, ends, sizes)], pa.array(digests, pa.binary())],
+                ["doc_id", "nos", "starts", "ends", "sizes", "digest"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, unit_no int, start int, end int, n_words int, digest binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, nos array<int>, starts array<int>, ends array<int>, sizes array<int>, digest binary")
 
 
 def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
@@ -67,13 +102,20 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) ->
     u = space.store(units(docs, unit, min_words), "units")
     first = (
         u.groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "unit_no", "start")).alias("kept"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "nos", "starts")).alias("kept"))
         .where("n > 1")
-        .select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit_no").alias("__no"), F.col("kept.start").alias("kept_start"))
+        .select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.nos").alias("__nos"), F.col("kept.starts").alias("kept_starts"))
+    )
+    hit = salted_join(u, first, ["digest"], F.struct("doc_id", "nos"))
+    later = ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("nos") == F.col("__nos")))
+    each = hit.where(later).select("doc_id", "kept_doc_id", F.explode(F.arrays_zip("nos", "starts", "ends", "sizes", "__nos", "kept_starts")).alias("x"))
+    # A unit is in several runs: it is removed once, for its earliest equal.
+    out = (
+        each.groupBy("doc_id", F.col("x.nos").alias("unit_no"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end"), F.col("x.sizes").alias("n_words"))
+        .agg(F.min(F.struct("kept_doc_id", F.col("x.__nos").alias("no"), F.col("x.kept_starts").alias("start"))).alias("kept"))
+        .select("doc_id", "unit_no", "start", "end", "n_words", "kept.kept_doc_id", F.col("kept.start").alias("kept_start"))
     )
-    hit = salted_join(u, first, ["digest"], F.struct("doc_id", "unit_no"))
-    later = ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("unit_no") == F.col("__no")))
-    return space.finish(hit.where(later).select("doc_id", "unit_no", "start", "end", "n_words", "kept_doc_id", "kept_start"), "repeats")
+    return space.finish(out, "repeats")
 
 
 def clean(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:

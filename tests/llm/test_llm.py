@@ -353,6 +353,40 @@ def test_line_dedup(spark):
     assert text == {0: f"{b}\n{a}", 1: "x\ny", 2: short, 3: "", 4: short, 5: None}
 
 
+def test_line_dedup_short_lines(spark):
+    """A passage of short lines goes like one of long lines; every repeated run of ten words, by brute force."""
+    rnd = random.Random(10)
+    verse = [prose(rnd, rnd.randint(1, 9)) for _ in range(20)]
+    texts = ["\n".join([prose(rnd, 30), *verse, prose(rnd, 7)]), "\n".join([prose(rnd, 3), *verse[:9], "", *verse[9:], prose(rnd, 30)]), "\n".join(["go on"] * 12), "\n".join(verse[:1])]
+    pool = [prose(rnd, k) for k in (1, 2, 3, 4, 6, 9, 10, 12)]
+    texts += ["\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 8))) for _ in range(40)]
+    want, seen = set(), {}
+    for d, t in enumerate(texts):
+        lines = [(i, x) for i, x in enumerate(t.split("\n")) if x]
+        for a in range(len(lines)):
+            for z in range(a + 1, len(lines) + 1):
+                words = tuple(x for _, x in lines[a:z])
+                if len(" ".join(words).split()) >= 10 and seen.setdefault(words, (d, a)) != (d, a):
+                    want |= {(d, i) for i, _ in lines[a:z]}
+    rows = line_dedup.repeats(make(spark, texts)).collect()
+    assert len(rows) == len(want) and {(r["doc_id"], r["unit_no"]) for r in rows} == want
+    assert {(1, i) for i in range(1, 22) if i != 10} <= want and (3, 0) not in want
+    for r in rows:
+        line = texts[r["doc_id"]][r["start"] : r["end"]]
+        assert texts[r["kept_doc_id"]][r["kept_start"] :].split("\n")[0] == line and (r["kept_doc_id"], r["kept_start"]) < (r["doc_id"], r["start"])
+
+
+def test_line_dedup_adds_short_lines_only(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    cols = ["doc_id", "unit_no", "start", "end", "n_words", "kept_doc_id", "kept_start"]
+    want = {tuple(int(x) for x in r) for r in con.sql(line_dedup.ORACLE).df()[cols].itertuples(index=False)}
+    got = {tuple(r[c] for c in cols) for r in queries.op6_substring_dedup(spark, sf).collect()}
+    assert want < got and all(r[4] < line_dedup.MIN_WORDS for r in got - want)
+
+
 # 7 ------------------------------------------------------------------------------------
 
 
