@@ -183,6 +183,24 @@ def test_decontaminate(spark):
     assert again == set(found)
 
 
+def test_decontaminate_texts_shorter_than_the_item(spark):
+    rnd = random.Random(12)
+    item, longer = prose(rnd, 40), prose(rnd, 60)
+    ws = item.split()
+    docs = make(spark, [" ".join(x) for x in (ws[:38], ws[4:], ws[1:-1], ws[:30], ws[:4], longer.split()[3:], ["x"] + ws[:36])])
+    bench = spark.createDataFrame([(1, item), (2, longer)], BENCH)
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_words"], r["similarity"]) for r in decontaminate.matches(docs, bench).collect()}
+    bag = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    want = {}
+    for d, t in ((r["doc_id"], r["text"].split()) for r in docs.collect()):
+        for i, x in ((1, ws), (2, longer.split())):
+            a, b = bag(t), bag(x)
+            if len(a & b) / len(a | b) >= 0.75:
+                want[d, i] = (0, len(t), round(len(a & b) / len(a | b), 6))
+    assert got == want and {d for d, _ in want} == {0, 1, 2, 5, 6}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {3, 4}
+
+
 def test_hamming_blocks_cover(spark):
     """Fingerprints within the radius share a block."""
     rnd = random.Random(4)
