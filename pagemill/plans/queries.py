@@ -399,7 +399,7 @@ def json_verdict_parse(spark, sf):
 def identifier_fold(spark, sf):
     """O-F7, O-F8."""
     role = F.when(F.lower("role") == "system", "None").otherwise(F.col("role"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.identifier(F.substring("text", 1, 40)).alias("ident"), V.grounded(role).alias("is_grounded"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.identifier(F.col("text")).alias("ident"), V.grounded(role).alias("is_grounded"))
 
 
 SIGNAL_SQL = "['signature_block', 'titled_id_header', 'table_end', 'same_letterhead', 'none', 'appendix_heading']"

@@ -108,6 +108,13 @@ def test_titles_of_all_parts(spark, tmp_path):
     assert {r["title"] for r in Q.title_best_match_full(spark, str(tmp_path)).collect()} == noisy
 
 
+def test_identifiers_of_whole_texts(spark, tmp_path):
+    texts = ["PC-12/Б №7 " * 9, "x" * 40 + "Й 1", "", None]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r["ident"] for r in Q.identifier_fold(spark, str(tmp_path)).collect()}
+    assert got == {0: "рс12б7" * 9, 1: "х" * 40 + "й1", 2: "", 3: None}
+
+
 def fold(rows, total):
     """Page by page, as a state machine: starts and the best (conf, signal) per end page."""
     starts, best, chain = [1], {}, False
