@@ -279,7 +279,7 @@ PAIR_SQL = f"""a as (select page_id, array_to_string(({NORM.format(TITLE)})[1:3]
 
 
 def _pairs(spark, sf) -> DataFrame:
-    q = table(spark, sf, "pages").select("page_id", T.squash(F.slice(T.title_tokens(F.regexp_extract("html", "<title>(.*?)</title>", 1)), 1, 3)).alias("q"))
+    q = table(spark, sf, "pages").select("page_id", T.squash(T.title_tokens(F.regexp_extract("html", "<title>(.*?)</title>", 1))).alias("q"))
     e = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), T.squash(T.title_tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("e"))
     return q.join(e, "page_id")
 

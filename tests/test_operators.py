@@ -115,6 +115,20 @@ def test_identifiers_of_whole_texts(spark, tmp_path):
     assert got == {0: "рс12б7" * 9, 1: "х" * 40 + "й1", 2: "", 3: None}
 
 
+def test_pairs_of_whole_titles(spark, tmp_path):
+    """Words after the third count."""
+    titles = ["ring steel large bolt", "ring steel large", "zink zink zink bolt steel"]
+    spark.createDataFrame([(i, f"<title>{t}</title>") for i, t in enumerate(titles)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    parts = ["ring steel large bolt", "ring steel large bolt", "zink bolt steel"]
+    spark.createDataFrame([(i, p.split()[0], " ".join(p.split()[1:])) for i, p in enumerate(parts)], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    tri = lambda s: {f"  {s} "[i : i + 3] for i in range(len(s) + 1)}
+    pairs = [(tri(t.replace(" ", "")), tri(p.replace(" ", ""))) for t, p in zip(titles, parts, strict=True)]
+    got = {r["page_id"]: r["score"] for r in Q.trigram_jaccard(spark, str(tmp_path)).collect()}
+    assert got == {i: round(len(a & b) / len(a | b), 6) for i, (a, b) in enumerate(pairs)} and got[0] == 1
+    # The title against the name, and against about half of itself (8 of 18, 7 of 14, 11 of 21 letters; 45 % are needed).
+    assert {r["page_id"]: r["n_contained"] for r in Q.containment(spark, str(tmp_path)).collect()} == {0: 1, 1: 2, 2: 2}
+
+
 def fold(rows, total):
     """Page by page, as a state machine: starts and the best (conf, signal) per end page."""
     starts, best, chain = [1], {}, False
