@@ -360,49 +360,118 @@ def test_reputation_shrinks(spark):
 # 6 ------------------------------------------------------------------------------------
 
 
-def test_line_dedup(spark):
+def brute_dedup(docs, unit="sentence", least=line_dedup.MIN_WORDS):
+    """Removed words of (doc_id, text) by the definition: equal runs of whole units, grown word by word."""
+    docs = sorted(set(docs))
+    words, cuts = [], []
+    for _, t in docs:
+        ws = list(re.finditer("[^ \t-\r]+", t))
+        gap = [t[a.end() : b.start()] for a, b in zip(ws, ws[1:])]
+        end = [g.count("\n") > (unit == "paragraph") or (unit == "sentence" and w[0][-1] in line_dedup.MARKS) for w, g in zip(ws, gap)]
+        words.append([re.sub("[A-Z]", lambda m: m[0].lower(), w[0]) for w in ws])
+        cuts.append([i + 1 for i, e in enumerate(end) if e] + [len(ws)] * bool(ws))
+    seen, hits = {}, []
+    for d, (ws, cs) in enumerate(zip(words, cuts)):
+        for a in [0, *cs[:-1]] if cs else []:
+            z = next((c for c in cs if c >= a + least), None)
+            if z is not None and (first := seen.setdefault(tuple(ws[a:z]), (d, a))) != (d, a):
+                hits.append((d, a, z, *first))
+    # Hits of one run first: growing starts from the run's ends.
+    runs = {}
+    for d, a, z, kd, ka in sorted(hits):
+        mine = runs.setdefault((d, kd, a - ka), [])
+        if mine and a <= mine[-1][1]:
+            mine[-1][1] = max(mine[-1][1], z)
+        else:
+            mine.append([a, z])
+    gone = collections.defaultdict(set)
+    for (d, kd, s), mine in runs.items():
+        for a, z in mine:
+            low = max([c for c in cuts[kd] if c < a - s], default=0)
+            high = next((c for c in cuts[kd] if c >= z - s + least), len(words[kd]))
+            while a - s > low and a > 0 and words[d][a - 1] == words[kd][a - s - 1]:
+                a -= 1
+            while z - s < high and z < len(words[d]) and words[d][z] == words[kd][z - s]:
+                z += 1
+            gone[docs[d]] |= set(range(a, z))
+    return gone
+
+
+def check_dedup(rows, out, unit="sentence"):
+    """``out``: (doc_id, old text, new text, spans) of every row, held against brute force."""
+    want = brute_dedup([(-(2**63) if i is None else i, t) for i, t in rows if t], unit)
+    assert len(out) == len(rows)
+    for i, old, new, spans in out:
+        if not old:
+            assert new == old and not spans
+            continue
+        starts = [m.start() for m in re.finditer("[^ \t-\r]+", old)]
+        gone = {k for k, p in enumerate(starts) if any(x["start"] <= p < x["end"] for x in spans)}
+        assert gone == want.get((-(2**63) if i is None else i, old), set()), (i, old)
+        left, at = "", 0
+        for x in spans:
+            left, at = left + old[at : x["start"]], x["end"]
+        assert left + old[at:] == new
+        assert new.split() == [w for k, w in enumerate(re.findall("[^ \t-\r]+", old)) if k not in gone]
+    return want
+
+
+def dedup_rows(spark, rows, unit="sentence"):
+    docs = spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id long, text string, old string").repartition(3)
+    return [(r["doc_id"], r["old"], r["text"], r[line_dedup.REMOVED]) for r in line_dedup.dedup(docs, unit).collect()]
+
+
+@pytest.mark.parametrize("unit", ["sentence", "line", "paragraph"])
+def test_line_dedup(spark, unit):
     rnd = random.Random(9)
     a, b, short = prose(rnd, 60), prose(rnd, 12), "of the in"
-    docs = make(spark, [f"{b}\n{a}", f"x\n{a.upper()}\ny", f"{short}\n{a}  ", f"{a}\n{a}", short, None])
-    got = sorted((r["doc_id"], r["unit_no"], r["start"], r["end"], r["kept_doc_id"]) for r in line_dedup.repeats(docs).collect())
-    n = len(a)
-    assert got == [(1, 1, 2, 2 + n, 0), (2, 1, 10, 12 + n, 0), (3, 0, 0, n, 0), (3, 1, n + 1, 2 * n + 1, 0)]
-    text = {r["doc_id"]: r["text"] for r in line_dedup.clean(docs).collect()}
-    assert text == {0: f"{b}\n{a}", 1: "x\ny", 2: short, 3: "", 4: short, 5: None}
+    rows = [(0, f"{b}\n{a}"), (1, f"x\n\n{a.upper()}\n\ny"), (2, f"{short}\n\n{a}  "), (3, f"{a}\n\n{a}"), (4, short), (5, None), (6, ""), (7, "go on. " * 40), (8, "go on. " * 15)]
+    out = {i: new for i, _, new, _ in check_and_rows(spark, rows, unit)}
+    if unit == "line":
+        assert out == {0: f"{b}\n{a}", 1: "x\n\ny", 2: f"{short}  ", 3: "", 4: short, 5: None, 6: "", 7: "go on. " * 40, 8: "go on. " * 15}
 
 
-def test_line_dedup_short_lines(spark):
-    """A passage of short lines goes like one of long lines; every repeated run of ten words, by brute force."""
+def check_and_rows(spark, rows, unit):
+    out = dedup_rows(spark, rows, unit)
+    check_dedup(rows, out, unit)
+    return out
+
+
+def test_passages_in_the_middle_of_lines(spark):
+    """Passages over 50 words, pasted anywhere, go whole; texts that share nothing stay."""
     rnd = random.Random(10)
-    verse = [prose(rnd, rnd.randint(1, 9)) for _ in range(20)]
-    texts = ["\n".join([prose(rnd, 30), *verse, prose(rnd, 7)]), "\n".join([prose(rnd, 3), *verse[:9], "", *verse[9:], prose(rnd, 30)]), "\n".join(["go on"] * 12), "\n".join(verse[:1])]
-    pool = [prose(rnd, k) for k in (1, 2, 3, 4, 6, 9, 10, 12)]
-    texts += ["\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 8))) for _ in range(40)]
-    want, seen = set(), {}
-    for d, t in enumerate(texts):
-        lines = [(i, x) for i, x in enumerate(t.split("\n")) if x]
-        for a in range(len(lines)):
-            for z in range(a + 1, len(lines) + 1):
-                words = tuple(x for _, x in lines[a:z])
-                if len(" ".join(words).split()) >= 10 and seen.setdefault(words, (d, a)) != (d, a):
-                    want |= {(d, i) for i, _ in lines[a:z]}
-    rows = line_dedup.repeats(make(spark, texts)).collect()
-    assert len(rows) == len(want) and {(r["doc_id"], r["unit_no"]) for r in rows} == want
-    assert {(1, i) for i in range(1, 22) if i != 10} <= want and (3, 0) not in want
-    for r in rows:
-        line = texts[r["doc_id"]][r["start"] : r["end"]]
-        assert texts[r["kept_doc_id"]][r["kept_start"] :].split("\n")[0] == line and (r["kept_doc_id"], r["kept_start"]) < (r["doc_id"], r["start"])
-
-
-def test_line_dedup_adds_short_lines_only(spark, sf):
-    import duckdb
-
-    con = duckdb.connect()
-    con.sql(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
-    cols = ["doc_id", "unit_no", "start", "end", "n_words", "kept_doc_id", "kept_start"]
-    want = {tuple(int(x) for x in r) for r in con.sql(line_dedup.ORACLE).df()[cols].itertuples(index=False)}
-    got = {tuple(r[c] for c in cols) for r in queries.op6_substring_dedup(spark, sf).collect()}
-    assert want < got and all(r[4] < line_dedup.MIN_WORDS for r in got - want)
+
+    def text(n):
+        ws = prose(rnd, n).split()
+        return " ".join(w + rnd.choice(["", "", "", "", ".", ",", ".\n", "。"]) for w in ws)
+
+    passages = [text(rnd.randint(51, 90)) for _ in range(12)]
+    rows, planted = [], collections.Counter()
+    for i in range(60):
+        ws = text(rnd.randint(20, 200)).split(" ")
+        for p in rnd.sample(range(12), rnd.choice([0, 1, 1, 2])):
+            k = rnd.randrange(len(ws) + 1)
+            ws[k:k] = [passages[p]]
+            planted[i] += len(passages[p].split())
+        rows.append((i, " ".join(ws)))
+    out = check_and_rows(spark, rows, "sentence")
+    lost = {i: len(old.split()) - len(new.split()) for i, old, new, _ in out}
+    assert all(lost[i] == 0 for i in range(60) if not planted[i])
+    assert all(lost[i] >= 0.95 * planted[i] for i in range(40, 60))
+
+
+def test_line_dedup_null_and_equal_ids(spark):
+    """Null ids with other texts are other documents, the smallest; equal ids too; equal rows are one document."""
+    rnd = random.Random(12)
+    a, b = prose(rnd, 30), prose(rnd, 30)
+    rows = [(None, f"{a}\nx"), (None, f"y\n{a}"), (None, b), (1, a), (1, b), (1, b), (2, f"{b}\nend")]
+    out = check_and_rows(spark, rows, "sentence")
+    assert sorted((i is not None, i or 0, new) for i, _, new, _ in out) == sorted([(False, 0, f"{a}\nx"), (False, 0, "y"), (False, 0, b), (True, 1, ""), (True, 1, ""), (True, 1, ""), (True, 2, "end")])
+
+
+def test_line_dedup_on_whole_table(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    check_and_rows(spark, rows, "sentence")
 
 
 # 7 ------------------------------------------------------------------------------------
@@ -494,16 +563,13 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in d1} == {r["doc_id"] for r in quality_rules.judge(d0).where("kept").collect()}
     want = brute_components([(r["doc_id"], r["text"]) for r in d1])
     keep = {i for i, (_, c) in want.items() if i == c}
-    seen, text = set(), {}
-    for r in sorted((r for r in d1 if r["doc_id"] in keep), key=lambda r: r["doc_id"]):
-        lines = []
-        for u in r["text"].split("\n"):
-            ws = [w for w in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), u)) if w]
-            if len(ws) < 10 or tuple(ws) not in seen:
-                lines.append(u)
-            if len(ws) >= 10:
-                seen.add(tuple(ws))
-        text[r["doc_id"]] = "\n".join(lines)
+    old = {r["doc_id"]: r["text"] for r in d1 if r["doc_id"] in keep}
+    gone, text = brute_dedup(list(old.items())), {}
+    for i, t in old.items():
+        text[i] = [w for k, w in enumerate(re.findall("[^ \t-\r]+", t)) if k not in gone.get((i, t), ())]
+    d3 = stages["substring dedup"](spark, d0.where(F.col("doc_id").isin([-1])).union(spark.createDataFrame([(i, t, "", "", 0) for i, t in old.items()], SCHEMA)), sf).collect()
+    assert {r["doc_id"]: re.findall("[^ \t-\r]+", r["text"]) for r in d3} == text
+    text = {r["doc_id"]: r["text"] for r in d3}
     bad = {r["doc_id"] for r in decontaminate.matches(make(spark, []).union(spark.createDataFrame([(i, t, "", "", 0) for i, t in text.items()], SCHEMA)), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_bpe.load_ranks(queries.tokenizer("byte_bpe_50k.tiktoken")), special_tokens={})
     out = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf).collect()}
