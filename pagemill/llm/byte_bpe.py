@@ -1,18 +1,26 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pieces of many documents form one corpus.  An inverted index maps
-each mergeable token pair (by its rank) to the positions in the pieces where it
-stands; ranks are replayed in ascending order, each over all its positions at
-once, and only the touched neighbours enter the index anew.  Documents are then
-encoded by looking up their pieces, and decoded from the identifiers.
-
-The corpus of a replay is what a task holds new in one Arrow batch, so memory is
-bounded and no vocabulary of words is shuffled or collected; pieces are
-independent, so the identifiers do not depend on how documents are batched.
-Encoded words are remembered per Python worker up to ``MEMO`` words.
+The distinct words of the whole corpus are dealt over buckets by hash.  In a bucket
+an inverted index maps each mergeable token pair (by its rank) to the positions in
+the words' pieces where it stands; ranks are replayed in ascending order, each over
+all its positions at once, and only the touched neighbours enter the index anew.
+So a word is merged once, however many texts it is in.
+
+Texts are packed in blocks of some MB: which words each has, by their place in the
+block's own list of distinct words.  A block sends every bucket its words of that
+bucket once, gets their identifiers back and puts its texts together by array
+look-ups; decoding looks up the identifiers' bytes in the same way.  Blocks,
+messages and buckets are bounded (``BLOCK_CHARS``, ``BUCKET_BYTES``); a word in a
+third of all texts costs its bucket one entry per block.
+
+Words are cut at blanks and line feeds where the pattern is ``SPACED`` and the text
+has no other white space; any other text is cut by the pattern itself, and its
+pieces are the words.
 
 Defined results: null and empty texts encode to no identifiers (the digests are
-those of zero bytes); repeated rows each get a row; extra columns are ignored.
+those of zero bytes); repeated rows and null doc_ids each get a row; very long texts
+are encoded whole, in a block of their own size; an empty table gives none; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,16 +28,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import blobs
 
-MEMO = 400_000
-#: White space other than the blank and the line feed, by which words are cut.
-OTHER_WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+#: Fixed value: the public split pattern that never joins words over a single blank or line feed.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space other than the blank and the line feed.
+OTHER_WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLOCK_CHARS, BUCKET_BYTES, LEAST_BUCKETS, SLICE_BYTES = 8_000_000, 32_000_000, 64, 4_000_000
+#: Kinds of words: after a blank (or with its own line feed), as it stands, a piece of the pattern.
+AFTER_BLANK, AS_IS, PIECE = 0, 1, 2
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -64,7 +81,7 @@ class Replay:
         """Rank of the token that a pair merges to, or -1."""
         r = self.pair_rank.get((a, b))
         if r is None:
-            if len(self.pair_rank) > 2_000_000:
+            if len(self.pair_rank) > 1_000_000:
                 self.pair_rank.clear()
             r = self.pair_rank[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
         return r
@@ -125,103 +142,205 @@ class Replay:
         return out
 
 
-class Encoder:
-    """Texts to little-endian 32-bit identifiers, batch by batch."""
+class Vocabulary:
+    """One rank file in a Python worker: replay, and the bytes of all tokens as one array."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import regex
-
-        self.replay, self.find = Replay(ranks), regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.replay = Replay(ranks)
+        table = self.replay.bytes_of
+        self.size = np.array([len(x) for x in table], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
 
-    def cut(self, text: str) -> list[str]:
-        """Units whose pieces are the text's pieces in order: words with the one blank or line feed before them.
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all identifiers, and how many each has."""
+        return gather(self.flat, self.at[ids], self.size[ids]), self.size[ids]
 
-        Where white space is anything else the whole text is a unit of its own.
-        """
-        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in OTHER_WHITE):
-            return [text] if text else []
-        head, *rest = text.replace("\n", " \n").split(" ")
-        return [head, *[x if x[0] == "\n" else " " + x for x in rest]]
 
-    def learn(self, cuts: list[list[str]]) -> None:
-        """Replays the merges over all pieces that are not known yet."""
-        if len(self.units) > MEMO or len(self.pieces) > MEMO:
-            self.units.clear()
-            self.pieces.clear()
-        new = list(set(chain.from_iterable(cuts)).difference(self.units))
-        found = [self.find(u) for u in new]
-        pieces = list(set(chain.from_iterable(found)).difference(self.pieces))
-        for p, ids in zip(pieces, self.replay.encode([p.encode() for p in pieces]), strict=True):
-            self.pieces[p] = np.array(ids, "<u4").tobytes()
-        get = self.pieces.__getitem__
-        for u, f in zip(new, found, strict=True):
-            self.units[u] = b"".join(map(get, f))
+_known: dict[str, Vocabulary] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [self.cut(t) for t in texts]
-        self.learn(cuts)
-        get = self.units.__getitem__
-        return [b"".join(map(get, c)) for c in cuts]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.replay.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def _vocabulary(path: str, ranks) -> Vocabulary:
+    if path not in _known:
+        _known[path] = Vocabulary(ranks.value)
+    return _known[path]
 
 
-_encoders: dict[str, Encoder] = {}
+def gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs [at, at + size) of ``flat``, one after another."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(at - (ends - size), size)]
 
 
-def _encoder(key: str, ranks, pattern: str) -> Encoder:
-    if key not in _encoders:
-        _encoders[key] = Encoder(ranks.value, pattern)
-    return _encoders[key]
+def cut(text: str, find, spaced: bool) -> list:
+    """A text's words as keys: str (``AFTER_BLANK``), (str,) (``AS_IS``) or (str, 1) (``PIECE``)."""
+    if not text:
+        return []
+    if not spaced or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in OTHER_WHITE):
+        return [(p, 1) for p in find(text)]
+    words = text.replace("\n", " \n").split(" ")
+    words[0] = (words[0],)
+    return words
 
 
-def _groups(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
-    """Runs of texts of about ``most`` characters, at least one text each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(t)
-    yield slice(start, len(texts))
+def _pack_words(uid: int, keys: list, bits: int) -> Iterator[tuple[int, bytes]]:
+    """A block's distinct words by bucket: who asks, places in the block's list, kinds, lengths and bytes."""
+    kind = np.array([AFTER_BLANK if isinstance(k, str) else AS_IS if len(k) == 1 else PIECE for k in keys], np.uint8)
+    raw = [(k if isinstance(k, str) else k[0]).encode("utf-8", "surrogatepass") for k in keys]
+    bucket = (blobs.mix(blobs.hash_words(raw) + kind) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    at = np.r_[np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)]
+    for x, y in zip(at, at[1:], strict=False):
+        mine = order[x:y]
+        values = [raw[i] for i in mine.tolist()]
+        yield int(bucket[mine[0]]), blobs.pack(np.array([uid], np.int64), mine.astype(np.uint32), kind[mine], np.array([len(v) for v in values], np.uint32), np.frombuffer(b"".join(values), np.uint8), rising=(1,))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with ``keep_ids`` also ids (array<int>)."""
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+def _blocks(bits: int, pattern: str):
+    """Blocks of texts: a row for the block itself (key below zero) and one for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(ranks_path, ranks, pattern)
+        import regex
+
+        find, spaced = regex.compile(pattern).findall, pattern == SPACED
+        uid = TaskContext.get().partitionId() << 32
+        ids, sizes, places, held = [], [], [], 0
+        words: defaultdict = defaultdict()
+        words.default_factory = words.__len__
+
+        def flush() -> pa.RecordBatch:
+            known = np.array([0 if i is None else i for i in ids], np.int64)
+            none = np.array([i is None for i in ids], np.uint8)
+            rows = [(-1 - uid, blobs.pack(known, none, np.array(sizes, np.uint32), np.concatenate(places) if places else np.empty(0, np.uint32)))]
+            rows += _pack_words(uid, list(words), bits)
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.binary())], ["key", "blob"])
+
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for part in _groups(texts):
-                ids = enc.encode(texts[part])
-                cols = [
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in ids]),
-                ]
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                found = cut(text, find, spaced)
+                ids.append(i)
+                sizes.append(len(found))
+                places.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+                held += len(text or "") + 16
+                if held > BLOCK_CHARS:
+                    yield flush()
+                    uid += 1
+                    ids, sizes, places, held = [], [], [], 0
+                    words.clear()
+        if ids:
+            yield flush()
+
+    return run
+
+
+def _replay(path: str, ranks, pattern: str):
+    """A bucket's words replayed, the answers to the blocks that asked; a block itself goes on."""
+
+    def run(t: pa.Table) -> pa.Table:
+        import regex
+
+        key = t["key"][0].as_py()
+        if key < 0:
+            return pa.Table.from_arrays([pa.array([-1 - key], pa.int64()), pa.array([True]), t["blob"]], ["uid", "block", "blob"])
+        vocabulary, find = _vocabulary(path, ranks), regex.compile(pattern).findall
+        asked, words = [], {}
+        for v in t["blob"].to_pylist():
+            uid, place, kind, size, raw = blobs.unpack(v)
+            ends, raw = np.cumsum(size.astype(np.int64)).tolist(), raw.tobytes()
+            keys = [(k, raw[x:y]) for k, x, y in zip(kind.tolist(), [0, *ends], ends, strict=False)]
+            asked.append((int(uid[0]), place, keys))
+            words.update(dict.fromkeys(keys))
+        pieces: dict[bytes, bytes] = {}
+        cuts = {}
+        for k, raw in words:
+            text = raw.decode("utf-8", "surrogatepass")
+            if k == AFTER_BLANK and text[:1] != "\n":
+                text = " " + text
+            cuts[k, raw] = found = [p.encode("utf-8", "surrogatepass") for p in ([text] if k == PIECE else find(text))]
+            pieces.update(dict.fromkeys(found, b""))
+        part, held = [], 0
+        todo = list(pieces)
+        for n, p in enumerate(todo):
+            part.append(p)
+            held += len(p)
+            if held > SLICE_BYTES or n == len(todo) - 1:
+                for q, ids in zip(part, vocabulary.replay.encode(part), strict=True):
+                    pieces[q] = np.array(ids, "<u4").tobytes()
+                part, held = [], 0
+        for k, found in cuts.items():
+            words[k] = b"".join(pieces[p] for p in found)
+        uids, values = [], []
+        for uid, place, keys in asked:
+            ids = [words[k] for k in keys]
+            uids.append(uid)
+            values.append(blobs.pack(place, np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4"), rising=(0,)))
+        return pa.Table.from_arrays([pa.array(uids, pa.int64()), pa.array([False] * len(uids)), pa.array(values, pa.binary())], ["uid", "block", "blob"])
+
+    return run
+
+
+def _assemble(path: str, ranks, keep_ids: bool):
+    """A block's texts from its words' identifiers."""
+
+    def run(t: pa.Table) -> pa.Table:
+        vocabulary = _vocabulary(path, ranks)
+        place, size, flat = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
+        for is_block, v in zip(t["block"].to_pylist(), t["blob"].to_pylist(), strict=True):
+            if is_block:
+                doc_id, none, n_words, words = blobs.unpack(v)
+            else:
+                for into, x in zip((place, size, flat), blobs.unpack(v), strict=True):
+                    into.append(x)
+        place, size, flat = np.concatenate(place), np.concatenate(size).astype(np.int64), np.concatenate(flat)
+        start = np.cumsum(size) - size
+        length, at = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        length[place], at[place] = size, start
+        ends = np.r_[0, np.cumsum(n_words.astype(np.int64))]
+        counts, encoded, decoded, kept = [], [], [], []
+        i = 0
+        while i < len(doc_id):
+            # Texts of about a quarter million words at a time.
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + 250_000, "right")) - 1)
+            w = words[ends[i] : ends[j]]
+            ids = gather(flat, at[w], length[w])
+            data, width = vocabulary.decode(ids)
+            id_ends = np.r_[0, np.cumsum(length[w])][ends[i : j + 1] - ends[i]]
+            byte_ends = np.r_[0, np.cumsum(width)][id_ends]
+            raw, text = ids.astype("<u4").tobytes(), data.tobytes()
+            for a, z, x, y in zip(id_ends.tolist(), id_ends[1:].tolist(), byte_ends.tolist(), byte_ends[1:].tolist(), strict=False):
+                counts.append(z - a)
+                encoded.append(hashlib.sha256(raw[4 * a : 4 * z]).hexdigest())
+                decoded.append(hashlib.sha256(text[x:y]).hexdigest())
                 if keep_ids:
-                    cols.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
-                names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(part.start, part.stop - part.start), *cols], ["doc_id", *names])
+                    kept.append(ids[a:z].astype(np.int32))
+            i = j
+        cols = {"doc_id": pa.array(doc_id, pa.int64(), mask=none == 1), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(encoded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        if keep_ids:
+            cols["ids"] = pa.array(kept, pa.list_(pa.int32()))
+        return pa.table(cols)
+
+    return run
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with ``keep_ids`` also ids (array<int>)."""
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    bits = blobs.bucket_count(docs, BUCKET_BYTES, LEAST_BUCKETS).bit_length() - 1
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(bits, pattern), "key long, blob binary")
+    answers = packed.groupBy("key").applyInArrow(_replay(ranks_path, ranks, pattern), "uid long, block boolean, blob binary")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return answers.groupBy("uid").applyInArrow(_assemble(ranks_path, ranks, keep_ids), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id and text of rows with doc_id and ids; bytes that are not UTF-8 become U+FFFD."""
+    """doc_id and text of rows with doc_id and ids (null: none); bytes that are not UTF-8 become U+FFFD."""
     ranks = encoded.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(ranks_path, ranks, "")
+        vocabulary = _vocabulary(ranks_path, ranks)
         for b in batches:
-            texts = [enc.decode(np.array(x or [], "<u4").tobytes()).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
+            texts = [vocabulary.decode(np.array(x or [], np.int64))[0].tobytes().decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
