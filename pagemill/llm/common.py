@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -53,27 +54,27 @@ def digest128(s: Column) -> tuple[Column, Column]:
     return F.xxhash64(s), F.xxhash64(F.lit(7919), s)
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt_by: Column, how: str = "inner", salts: int = 16) -> DataFrame:
-    """Equi-join (null keys equal) whose hot keys are dealt over ``salts`` tasks.
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", grows: bool = True) -> DataFrame:
+    """Equi-join on columns of both (null keys equal), keeping those of ``left``.
 
-    Every row of ``small`` is copied once per salt and each row of ``big`` asks for
-    one of them, so no key needs all its rows in one task.  ``small`` must hold
-    few rows per key; the copies are what the even spread costs.
+    No side is copied; adaptive execution splits the partitions of hot keys.  A
+    right side that ``grows`` with the corpus is never broadcast (packed ids look
+    small in Parquet and are not in memory); others by Spark's own size check.
     """
-    left = big.withColumn("__salt", F.pmod(F.hash(salt_by), F.lit(salts)))
-    right = small.select(*[F.col(c).alias(f"__r_{c}") for c in on], *[c for c in small.columns if c not in on], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__rsalt"))
-    cond = F.col("__salt") == F.col("__rsalt")
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = F.lit(True)
     for c in on:
         cond = cond & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-    out = left.join(right, cond, how)
-    return out.drop("__salt", "__rsalt", *[f"__r_{c}" for c in on])
+    return left.join(renamed.hint("merge") if grows else renamed, cond, how).drop(*[f"__r_{c}" for c in on])
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """Folder that every executor sees: ``spark.checkpoint.dir``; only a local master may do without, and gets its temporary folder."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        conf = "/tmp/pagemill-scratch"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf = f"{tempfile.gettempdir()}/pagemill-scratch"
     return f"{conf.rstrip('/')}/pagemill-{uuid.uuid4().hex}"
 
 
@@ -115,16 +116,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 class Workspace:
     """Tables in the shared folder that one operator call needs, gone when its result is stored."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, grows: bool = False):
         self.spark = spark
+        self.grows = grows
         self.paths: list[str] = []
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read back; joins of tables that ``grow`` are sort-merge joins (see ``joined``)."""
         path = scratch(self.spark, name)
         self.paths.append(path)
         schema = df.schema
         df.write.parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+        back = self.spark.read.schema(schema).parquet(path)
+        back = back.hint("merge") if self.grows else back
+        self.tables.append((back, path))
+        return back
+
+    def drop(self, table: DataFrame) -> None:
+        """Deletes a table that ``store`` returned and that nothing reads any more."""
+        path = next(p for t, p in self.tables if t is table)
+        drop_path(self.spark, path)
+        self.paths.remove(path)
+        self.tables = [(t, p) for t, p in self.tables if p != path]
 
     def finish(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` stored (it stays until Python ends), everything else deleted."""
@@ -132,6 +146,7 @@ class Workspace:
         for path in self.paths:
             drop_path(self.spark, path)
         self.paths.clear()
+        self.tables.clear()
         return done
 
 

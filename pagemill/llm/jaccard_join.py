@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import Workspace, salted_join
+from .common import Workspace, joined
 
 N = 5
 FLUSH = 1_500_000
@@ -220,15 +220,17 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
     """
     both = space.store(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc_id"), F.least("a", "m").alias("comp"))
-    labels = space.store(labels, "labels")
+    done = space.store(labels, "labels")
     while True:
-        near = salted_join(both, labels.select(F.col("doc_id").alias("b"), "comp"), ["b"], F.col("a")).groupBy(F.col("a").alias("doc_id")).agg(F.min("comp").alias("low"))
-        sunk = labels.join(near, "doc_id").select("doc_id", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
-        jump = salted_join(sunk, labels.select(F.col("doc_id").alias("comp"), F.col("comp").alias("up")), ["comp"], F.col("doc_id"))
-        done = space.store(jump.select("doc_id", "old", F.least("comp", "up").alias("comp")), "labels")
         labels = done.select("doc_id", "comp")
+        near = joined(both, labels.select(F.col("doc_id").alias("b"), "comp"), ["b"]).groupBy(F.col("a").alias("doc_id")).agg(F.min("comp").alias("low"))
+        sunk = labels.join(near, "doc_id").select("doc_id", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
+        jump = joined(sunk, labels.select(F.col("doc_id").alias("comp"), F.col("comp").alias("up")), ["comp"])
+        before, done = done, space.store(jump.select("doc_id", "old", F.least("comp", "up").alias("comp")), "labels")
+        space.drop(before)
         if done.where("old <> comp").isEmpty():
-            return labels
+            space.drop(both)
+            return done.select("doc_id", "comp")
 
 
 def _star_round(index: DataFrame, sets: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -330,9 +332,11 @@ def _from_pivots(pairs: DataFrame, groups: DataFrame, sets: DataFrame, space: Wo
 
 def join(docs: DataFrame, n: int = N, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    space = Workspace(docs.sparkSession)
+    space = Workspace(docs.sparkSession, grows=True)
     rows = space.store(shared(docs, n), "shared")
+    every = space.store(rows.where("home").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "rep"), "every")
     sets = space.store(_sets(rows), "sets")
+    space.drop(rows)
     index = space.store(_index(sets), "index")
     stars = comp = None
     for _ in range(rounds):
@@ -347,8 +351,7 @@ def join(docs: DataFrame, n: int = N, rounds: int = 2) -> DataFrame:
     rest = space.store(rest, "links")
     if not rest.isEmpty():
         comp = components(stars.where("link").select("a", "b").union(rest), space)
-    every = rows.where("home").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "rep")
-    out = salted_join(every, comp.select(F.col("doc_id").alias("rep"), "comp"), ["rep"], F.col("doc_id"), "left")
+    out = joined(every, comp.select(F.col("doc_id").alias("rep"), "comp"), ["rep"], "left")
     return space.finish(out.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id")), "components")
 
 

@@ -9,7 +9,10 @@ that loses more than ``max_loss`` of its words this way is depleted and rejected
 Defined results: null or blank text has no words, no lines and fails the base
 rule ``n_words < 10``; exact copies count as one text, so copying a page cannot
 turn its lines into boilerplate; a null host is a host of its own; repeated rows
-each get a row; extra columns are ignored.
+each get a row; rows are told apart by doc_id, host and text, so rows with equal or
+null doc_id don't share losses; a null doc_id is the smallest, and all rows that
+have the smallest doc_id of a line keep it; very long texts are counted whole; an
+empty table gives none; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,10 +20,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, ascii_lower, digest128, let, salted_join, window_hashes, words
+from .common import SPACE_RE, ascii_lower, digest128, let, joined, stored, window_hashes, words
 
 MIN_WORDS, REPEAT_SHARE, MAX_DOCS, MAX_LOSS = 10, 20, 30, 50
 HAS_WORD = "[^ \\t-\\r]"
+KEY = ["__pagemill_id", "__pagemill_host", "__pagemill_t1", "__pagemill_t2"]
+
+
+def keyed(docs: DataFrame, host: str) -> DataFrame:
+    """What tells documents apart, in ``KEY``, and their text."""
+    t1, t2 = digest128(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(*[c.alias(k) for c, k in zip((F.col("doc_id"), F.col(host), t1, t2), KEY, strict=True)], *docs.columns)
+
+
+def key_is(left: DataFrame, right: DataFrame, prefix: str) -> Column:
+    """Equality of ``KEY`` with the same columns of ``right`` named with ``prefix``; nulls are equal."""
+    return (left[KEY[2]] == right[prefix + KEY[2]]) & (left[KEY[3]] == right[prefix + KEY[3]]) & left[KEY[0]].eqNullSafe(right[prefix + KEY[0]]) & left[KEY[1]].eqNullSafe(right[prefix + KEY[1]])
 
 
 def repeat_words(ws: Column, n: int = 5) -> Column:
@@ -51,8 +66,8 @@ def repeat_words(ws: Column, n: int = 5) -> Column:
     ).cast("long")
 
 
-def base(docs: DataFrame) -> DataFrame:
-    """One row per document with the counts that a text gives alone."""
+def base(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document with the counts that a text gives alone; ``keep``: further columns to hand on."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(HAS_WORD))
     counts = let(
@@ -65,69 +80,77 @@ def base(docs: DataFrame) -> DataFrame:
     )
     return docs.select(
         "doc_id",
-        counts.alias("c"),
+        counts.alias("__c"),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
+        *keep,
     ).select(
         "doc_id",
-        "c.n_words",
-        "c.word_chars",
+        "__c.n_words",
+        "__c.word_chars",
         "n_symbols",
         "n_dup_lines",
-        "c.n_repeat_words",
-        ((F.col("c.n_words") < MIN_WORDS) | (100 * F.col("c.n_repeat_words") > REPEAT_SHARE * F.col("c.n_words"))).alias("base_failed"),
+        "__c.n_repeat_words",
+        ((F.col("__c.n_words") < MIN_WORDS) | (100 * F.col("__c.n_repeat_words") > REPEAT_SHARE * F.col("__c.n_words"))).alias("base_failed"),
+        *keep,
     )
 
 
-def boilerplate(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
-    """Lines to remove: doc_id, line number (0-based, among \\n-split lines) and its words."""
-    t1, t2 = digest128(F.coalesce(F.col("text"), F.lit("")))
-    lines = (
-        docs.select("doc_id", F.col(host).alias("host"), t1.alias("t1"), t2.alias("t2"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .where(F.col("line").rlike(HAS_WORD))
-        .select("doc_id", "host", "t1", "t2", "line_no", words(ascii_lower(F.col("line"))).alias("ws"))
-        .select("doc_id", "host", "t1", "t2", "line_no", F.array_join("ws", " ").alias("norm"), F.size("ws").cast("long").alias("line_words"))
-    )
-    k1, k2 = digest128(F.col("norm"))
-    keyed = lines.select("doc_id", "host", "t1", "t2", "line_no", "line_words", k1.alias("k1"), k2.alias("k2"))
+def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """Lines to remove of ``keyed`` documents: ``KEY``, line number (0-based, among \\n-split lines) and its words."""
+    lines = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(HAS_WORD)).select(*KEY, "line_no", words(ascii_lower(F.col("line"))).alias("ws"))
+    k1, k2 = digest128(F.array_join("ws", " "))
+    # Lines are cut and hashed once; their counts and the lines themselves are read from the digests.
+    lines = stored(lines.select(*KEY, "line_no", F.size("ws").cast("long").alias("line_words"), k1.alias("k1"), k2.alias("k2")), "lines")
+    line, least = [KEY[1], "k1", "k2"], F.coalesce(F.col(KEY[0]).cast("long"), F.lit(-(1 << 63)))
     over = (
-        keyed.groupBy("host", "k1", "k2", "t1", "t2")
-        .agg(F.min("doc_id").alias("first"))
-        .groupBy("host", "k1", "k2")
+        lines.groupBy(*line, KEY[2], KEY[3])
+        .agg(F.min(least).alias("first"))
+        .groupBy(*line)
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first_doc"))
         .where(F.col("n_docs") > max_docs)
     )
-    hit = salted_join(keyed.drop("t1", "t2"), over, ["host", "k1", "k2"], F.col("doc_id"))
-    return hit.where(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("doc_id", "line_no", "line_words")
+    hit = joined(lines, over, line)
+    return hit.where(least != F.col("first_doc")).select(*KEY, "line_no", "line_words")
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_loss: int = MAX_LOSS) -> DataFrame:
-    """``base`` plus ``removed_words``, ``removed_lines`` and ``kept``."""
+def _judge(docs: DataFrame, host: str, max_docs: int, max_loss: int) -> DataFrame:
+    known = keyed(docs.select("doc_id", F.col(host), "text"), host)
     lost = (
-        boilerplate(docs, host, max_docs)
-        .groupBy(F.col("doc_id").alias("__pagemill_doc"), "line_no")
+        boilerplate(known, max_docs)
+        .groupBy(*KEY, "line_no")
         .agg(F.max("line_words").alias("line_words"))
-        .groupBy("__pagemill_doc")
+        .groupBy(*[F.col(k).alias("lost" + k) for k in KEY])
         .agg(F.sum("line_words").alias("removed_words"), F.array_sort(F.collect_list("line_no")).alias("removed_lines"))
     )
-    b = base(docs)
+    b = base(known, tuple(KEY))
     removed = F.coalesce(F.col("removed_words"), F.lit(0)).cast("long")
-    return b.join(lost, b["doc_id"].eqNullSafe(lost["__pagemill_doc"]), "left").select(
-        *b.columns,
+    return b.join(lost, key_is(b, lost, "lost"), "left").select(
+        *[c for c in b.columns if c not in KEY],
         removed.alias("removed_words"),
         F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"),
         (~F.col("base_failed") & (100 * removed <= max_loss * F.col("n_words"))).alias("kept"),
+        *KEY,
     )
 
 
-def clean(docs: DataFrame, **params) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_loss: int = MAX_LOSS) -> DataFrame:
+    """``base`` plus ``removed_words``, ``removed_lines`` and ``kept``."""
+    return _judge(docs, host, max_docs, max_loss).drop(*KEY)
+
+
+def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_loss: int = MAX_LOSS) -> DataFrame:
     """Kept documents, all their columns, with the lines above the limit cut from the text."""
-    j = judge(docs, **params).where("kept").groupBy(F.col("doc_id").alias("__pagemill_doc")).agg(F.first("removed_lines").alias("__pagemill_cut"))
+    j = _judge(docs, host, max_docs, max_loss).where("kept").groupBy(*[F.col(k).alias("kept" + k) for k in KEY]).agg(F.first("removed_lines").alias("__pagemill_cut"))
     text = F.when(F.size("__pagemill_cut") == 0, F.col("text")).otherwise(
         F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__pagemill_cut"), i)), "\n")
     )
-    out = docs.join(j, docs["doc_id"].eqNullSafe(j["__pagemill_doc"]))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    known = keyed(docs, host)
+    out = known.join(j, key_is(known, j, "kept"))
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
 
 
 ORACLE = r"""

@@ -5,11 +5,16 @@ are fitted by moments: all labels give a suffix its prior, the suffix's posterio
 mean gives its registered domains theirs, and those theirs to hosts.  A host is
 allowed if the lower posterior bound ``mean - z * sd`` reaches ``min_good``.
 
+Of rules that fit the longest wins; of equally long ones that with the longer host,
+and of the same rule given twice with both verdicts the block.
+
 Suffixes are the last label of a host unless ``suffixes`` names longer ones; the
 registered domain is the suffix and one label more.  Defined results: a null or
 schemeless url has an empty host and path and takes the prior of the empty
 suffix; a null outcome is no label; repeated labels count each; repeated pages
-each get a row; without any label every bound is that of Beta(1, 1).
+each get a row, those with a null page_id too; without any label every bound is
+that of Beta(1, 1); an empty table gives none; very long urls are read whole; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, salted_join
+from .common import ascii_lower, joined
 
 #: The contract's rules: (rule, verdict).
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -45,7 +50,7 @@ def match_rules(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame) -> D
     spark = pages.sparkSession
     if isinstance(rules, list) and len(rules) <= CASE_RULES:
         rule = verdict = F.lit(None).cast("string")
-        for r, v in sorted(rules, key=lambda x: len(x[0])):  # the longest is tested first
+        for r, v in sorted(rules, key=lambda x: (len(x[0]), x[0].index("/"), x[1] == "block")):  # the last is tested first
             h, p = r.split("/", 1)
             fits = ((F.col("host") == h) | F.endswith(F.col("host"), F.lit(f".{h}"))) & F.startswith(F.col("path"), F.lit(f"/{p}"))
             rule, verdict = F.when(fits, r).otherwise(rule), F.when(fits, v).otherwise(verdict)
@@ -64,7 +69,7 @@ def match_rules(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame) -> D
         .join(table, "suffix")
         .where(F.startswith(F.col("path"), F.col("start")))
         .groupBy(F.col("page_id").alias("__page"), F.col("host").alias("__host"), F.col("path").alias("__path"))
-        .agg(F.max(F.struct(F.length("__rule"), "__rule", "__verdict")).alias("b"))
+        .agg(F.max(F.struct(F.length("__rule"), F.length("suffix"), F.col("__verdict") == "block", "__rule", "__verdict")).alias("b"))
     )
     on = F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path"))
     return pages.join(best, on, "left").withColumn("rule", F.col("b.__rule")).withColumn("rule_verdict", F.col("b.__verdict")).drop("__page", "__host", "__path", "b")
@@ -112,12 +117,12 @@ def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: tuple[str, ...]
     s1, s2, s3 = (F.lit(fits[k]["s"] if k in fits else LEAST) for k in (1, 2, 3))
     p = F.lit(fits[1]["p"] if 1 in fits else 0.5)
     suf = per_suffix.select("suffix", ((F.col("good") + s1 * p) / (F.col("n") + s1)).alias("m1"))
-    dom = salted_join(per_domain, suf, ["suffix"], F.col("domain"))
+    dom = joined(per_domain, suf, ["suffix"], grows=False)
     dom = dom.select("domain", ((F.col("good") + s2 * F.col("m1")) / (F.col("n") + s2)).alias("m2"))
     a, b = F.col("good") + s3 * F.col("m2"), F.col("n") - F.col("good") + s3 * (1 - F.col("m2"))
     mean = a / (a + b)
     bound = mean - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    out = salted_join(per_host, dom, ["domain"], F.col("host"))
+    out = joined(per_host, dom, ["domain"])
     return out.select("host", F.col("n").alias("host_labels"), mean.alias("reputation"), bound.alias("bound"))
 
 
@@ -126,7 +131,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] |
     host, path = split_url(F.col("url"))
     p = match_rules(pages.select("page_id", host.alias("host"), path.alias("path")), rules)
     rep = reputation(pages, outcomes, suffixes)
-    out = salted_join(p, rep, ["host"], F.col("page_id"), "left")
+    out = joined(p, rep, ["host"], "left")
     method = F.when(F.col("bound") >= min_good, "allow").otherwise("block")
     return out.select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "host_labels",

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import salted_join, stored
+from .common import joined, stored
 
 MAGIC = "WARC/1.0\r\n"
 REVISIT_BYTES = 1000
@@ -57,7 +57,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
         .drop("n")
     )
     # Only members of repeated payloads meet the groups, without their payloads.
-    members = salted_join(p.select("page_id", "digest", "payload_bytes").where(F.col("payload_bytes") >= REVISIT_BYTES), groups, ["digest"], F.col("page_id"))
+    members = joined(p.select("page_id", "digest", "payload_bytes").where(F.col("payload_bytes") >= REVISIT_BYTES), groups, ["digest"])
     # Payloads stay where they are while the revisits, counted first, are few; else they are joined by shuffle.
     refers = members.where(~F.col("page_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("page_id").alias("__page"), F.col("digest").alias("__digest")).agg(F.max("keeper").alias("refers_to"))
     refers = stored(refers, "revisits")

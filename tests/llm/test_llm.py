@@ -32,7 +32,7 @@ def odd(spark):
     rnd = random.Random(3)
     long = "\n".join(prose(rnd, 40) for _ in range(400))
     rows = [
-        (1, None, "en", "s", None), (2, "", None, None, 0), (3, " \n\t ", "en", "s", 4), (4, long, "en", None, len(long)), (5, long + "\nend", "en", "s", None),
+        (1, None, "en", "s", None), (2, "", None, None, 0), (None, "another one\nwithout an id", "en", None, 3), (None, "the third without", "en", "s", 3), (9, "one id", "en", "s", 6), (9, "two texts", "en", "s", 9), (3, " \n\t ", "en", "s", 4), (4, long, "en", None, len(long)), (5, long + "\nend", "en", "s", None),
         (6, "One two", "en", "s", 7), (7, "one TWO", "en", "s", 7), (8, "Été çà 漢字 🙂 é \x1c\x85x", "fr", "s", 1), (8, "Été çà 漢字 🙂 é \x1c\x85x", "fr", "s", 1), (None, "no id at all here", "en", "s", 3),
     ]
     d = spark.createDataFrame(rows, SCHEMA)
@@ -82,11 +82,12 @@ def test_odd_rows(spark, odd):
     assert comp[7] == 6 and comp[5] == 4 and comp[1] == 1 and comp[2] == 2 and comp[3] == 3 and comp[8] == 8
     hp = {r["doc_id"]: r for r in got["hpylm"]}
     assert all(hp[i]["n_tokens"] == 1 for i in (1, 2, 3))
-    assert {r["doc_id"] for r in got["decontaminate"]} == {1, 2, 3, 4, 5, 8, None}
+    assert {r["doc_id"] for r in got["decontaminate"]} == {1, 2, 3, 4, 5, 8, 9, None}
     assert {r["doc_id"]: r["base_failed"] for r in got["rules"]}[1] is True
-    for r in got["bpe"]:
-        text = next(x["text"] for x in odd.collect() if x["doc_id"] == r["doc_id"]) or ""
-        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    digests = lambda rows: sorted((str(i), d) for i, d in rows)
+    assert digests((r["doc_id"], r["decoded_sha256"]) for r in got["bpe"]) == digests((x["doc_id"], hashlib.sha256((x["text"] or "").encode()).hexdigest()) for x in odd.collect())
+    texts = collections.Counter((r["doc_id"], r["text"]) for r in odd.collect())
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got["decontaminate"]) == collections.Counter({k: v for k, v in texts.items() if k[0] not in (6, 7)})
     assert set(got["lines"][0].asDict()) == set(odd.columns)
 
 
@@ -320,6 +321,28 @@ def test_byte_bpe(spark, sf, name):
     assert {r["doc_id"]: r["text"] for r in byte_bpe.decode(out, path).collect()} == dict(enumerate(texts))
 
 
+def test_decode_before_encode(spark):
+    """Decoding first, in the same workers, changes nothing."""
+    path = queries.tokenizer("byte_bpe_50k.tiktoken")
+    ids = spark.createDataFrame([(1, [262, 995]), (None, None)], "doc_id long, ids array<int>")
+    assert byte_bpe.decode(ids, path).count() == 2
+    assert byte_bpe.encode(make(spark, ["the words of a text"] * 20).repartition(4), path, PATTERN).where("n_tokens = 5").count() == 20
+
+
+def test_byte_bpe_blocks(spark, monkeypatch):
+    """Many small blocks, buckets and slices give what one gives; another pattern is cut by itself."""
+    import tiktoken
+
+    path = queries.tokenizer("byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(byte_bpe, "SLICE_BYTES", 50)
+    texts = odd_texts()
+    for pattern in (PATTERN, r"\p{N}|[^\p{N}]+"):
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+        got = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(make(spark, texts).repartition(3), path, pattern, keep_ids=True).collect()}
+        assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_replay_with_ranks_that_fall():
     """A merge may make a pair of lower rank than its own; the piece is then merged by definition."""
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"abc": 256, b"bc": 400, b"abab": 257}
@@ -343,6 +366,17 @@ def test_url_rules_joined_or_inline(spark):
     assert a == {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, labels, table).collect()}
 
 
+def test_url_rule_ties(spark):
+    """Equal lengths: the longer host wins, then block; the same inline and joined."""
+    pages = spark.createDataFrame([(1, "http://b.net/e/x"), (2, "http://c.net/e/x"), (3, "http://b.net/"), (None, "http://b.net/e/")], "page_id long, url string").withColumn("rule", F.lit("clash")).withColumn("host", F.lit(1))
+    labels = spark.createDataFrame([], "page_id long, good int")
+    rules = [("net/e/", "block"), ("b.net/", "allow"), ("c.net/e/", "allow"), ("c.net/e/", "block")]
+    want = {(1, "b.net/", "allow"), (2, "c.net/e/", "block"), (3, "b.net/", "allow"), (None, "b.net/", "allow")}
+    for r in (rules, rules[::-1], spark.createDataFrame(rules, "rule string, verdict string")):
+        assert {(x["page_id"], x["rule"], x["verdict"]) for x in url_filter.judge(pages, labels, r).collect()} == want
+    assert url_filter.judge(pages.limit(0), labels).count() == 0
+
+
 def test_reputation_shrinks(spark):
     """One bad label blocks less than many; a new host takes its domain's mean."""
     rows, lab, i = [], [], 0
@@ -549,6 +583,33 @@ def test_line_rules(spark):
     assert copies == 100  # copies of one text are one text
 
 
+def test_rules_tell_rows_apart(spark):
+    """Null and equal doc_ids: no row loses another row's lines or is rejected for them."""
+    rnd = random.Random(13)
+    footer = prose(rnd, 11)
+    own = [prose(rnd, 15), prose(rnd, 40)]
+    rows = [(i, f"{prose(rnd, 60)}\n{footer}", "en", "s", 1) for i in range(40)]
+    rows += [(None, own[0], "en", "s", 1), (None, f"{own[1]}\n{footer}", "en", "s", 1), (50, own[0], "en", "s", 1), (50, f"{own[1]}\n{footer}", "en", "s", 1), (50, f"{own[1]}\n{footer}", "en", "t", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = [(r["doc_id"], r["n_words"], r["removed_words"], r["kept"]) for r in quality_rules.judge(docs).collect() if r["doc_id"] in (None, 50, 0)]
+    # The null doc_id is the smallest, so its rows keep the line; doc 0 loses it.
+    assert collections.Counter(got) == collections.Counter([(0, 71, 11, True), (None, 15, 0, True), (None, 51, 0, True), (50, 15, 0, True), (50, 51, 11, True), (50, 51, 0, True)])
+    text = collections.Counter((r["doc_id"], r["source"], r["text"]) for r in quality_rules.clean(docs).collect() if r["doc_id"] in (None, 50))
+    assert text == collections.Counter([(None, "s", own[0]), (None, "s", f"{own[1]}\n{footer}"), (50, "s", own[0]), (50, "s", own[1]), (50, "t", f"{own[1]}\n{footer}")])
+
+
+def test_decontaminate_tells_rows_apart(spark):
+    """Null and equal doc_ids with other texts: each is found, the others stay."""
+    rnd = random.Random(14)
+    item = prose(rnd, 30)
+    clean = [prose(rnd, 40) for _ in range(4)]
+    rows = [(None, clean[0]), (None, f"{clean[1]} {item}"), (None, clean[2]), (7, item), (7, clean[3]), (7, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, item)], BENCH)
+    assert sorted((str(r["doc_id"]), r["start_word"]) for r in decontaminate.matches(docs, bench).collect()) == [("7", 0), ("None", 40)]
+    assert collections.Counter(r["text"] for r in decontaminate.clean(docs, bench).collect()) == collections.Counter([clean[0], clean[2], clean[3]])
+
+
 # pipeline -----------------------------------------------------------------------------
 
 
