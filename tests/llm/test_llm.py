@@ -8,6 +8,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,23 +122,168 @@ def test_hpylm_base_and_perplexity(spark, sf):
     assert ppl(h.score) < 0.7 * ppl(h.base_score)
 
 
-def test_hpylm_group_law_sums_to_one():
-    """Over the words of a group and one unseen word, in any context."""
-    rng = np.random.default_rng(1)
-    n_words = 40
-    counts = collections.Counter((min(n_words - 1, int(w)), int(x)) for w, x in zip(rng.zipf(1.5, 3000), rng.integers(0, 4, 3000) << hpylm.BITS2 | rng.integers(0, 2, 3000), strict=True))
-    contexts = [(a << hpylm.BITS2) | b for a in range(5) for b in range(3)]  # some never seen
-    types = sorted((w, x) for w in range(n_words + 1) for x in contexts)  # word n_words is never in training
-    seen = {w for w, _ in counts}
-    keep = sorted(seen) + [n_words]
-    index = {w: i for i, w in enumerate(keep)}
-    types = sorted((index[w], x) for w, x in types if w in index)
-    count = np.array([counts.get((keep[w], x), 0) for w, x in types])
-    p = hpylm.predictive(np.array([w for w, _ in types]), np.array([x for _, x in types]), count, len(seen), np.random.default_rng(2))
-    total = collections.defaultdict(float)
-    for (_, x), v in zip(types, p, strict=True):
-        total[x] += v
-    assert all(abs(v - 1) < 1e-9 for v in total.values())
+class Here:
+    """A broadcast value without a cluster."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def rounds_here(texts, shards, rounds=hpylm.ROUNDS):
+    """The model's rounds in this process: plan, dealt rows by shard, and the last round's bucket seatings and totals."""
+    ids = list(range(len(texts)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts)})
+    w, u1, u2, sizes = hpylm._tokens(texts)
+    train = np.repeat([not hpylm.held_out(i) for i in ids], sizes)
+    rows = [(0, 0, 0, int(train.sum())), (0, 1, 0, len(w))]
+    of = lambda x: [(int(k), int(n)) for k, n in zip(*np.unique(x.view(np.int64), return_counts=True), strict=True)]
+    rows += [(1, k, 0, n) for k, n in sorted(of(w), key=lambda x: -x[1])[:5]] + [(2, k, 0, n) for k, n in of(u1)]
+    pairs = hpylm.pair_key(u1, u2)
+    parent = dict(zip(pairs.view(np.int64).tolist(), u1.view(np.int64).tolist(), strict=True))
+    rows += [(3, k, parent[k], n) for k, n in of(pairs)]
+    p = hpylm.Plan(rows, shards)
+    plan = Here(p)
+
+    def grouped(tables, key):
+        t = pa.concat_tables([pa.Table.from_batches([x]) if isinstance(x, pa.RecordBatch) else x for x in tables])
+        return {k: t.filter(pa.compute.equal(t[key], k)) for k in sorted(set(t[key].to_pylist()))}
+
+    dealt = grouped(list(hpylm._deal(plan)(iter([batch]))), "shard")
+    heard = None
+    for k in range(rounds):
+        run = hpylm._shard_round(plan, k, k == rounds - 1)
+        sent = grouped([run(t) if heard is None else run(t, heard[s]) for s, t in dealt.items()], "bucket")
+        back = grouped([hpylm._bucket_round(plan, k)(t) for t in sent.values()], "shard")
+        totals = grouped([hpylm._totals(plan)(back.pop(-1))], "shard")
+        heard = {s: pa.concat_tables([back[s], totals[s]]) for s in back}
+    messages = {b: sorted((hpylm.blobs.unpack(v) for v in t["blob"].to_pylist()), key=lambda m: int(m[0][0])) for b, t in sent.items()}
+    return p, dealt, heard, messages
+
+
+def mixed_texts(rnd, n, size=40):
+    """Words of a skewed law that depends on the word before; one pair is very common."""
+    out = []
+    for _ in range(n):
+        t = []
+        while len(t) < size:
+            k = (sum(map(ord, t[-1])) if t else 0) % 5
+            t += ["hot", "pair"] if rnd.random() < 0.35 else [f"w{min(int(rnd.paretovariate(0.8)) + k, 30)}"]
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 8, 16])
+def test_hpylm_law_sums_to_one(shards):
+    """Over all training words and one unseen word, in every context of every shard, whole or split; seen contexts and new ones."""
+    texts = mixed_texts(random.Random(5), 150)
+    p, dealt, heard, messages = rounds_here(texts, shards)
+    assert shards == 1 or (p.n_words >= 2 and len(p.pairs) >= 1 and p.all_shards > shards)
+    assert p.buckets == max(1, shards // 8)
+    uppers = []
+    told = {}
+    for m in (x for ms in messages.values() for x in ms):
+        told[int(m[0][1])] = dict(zip(hpylm.TOTALS, m[1][4:].tolist(), strict=True))
+        for x in hpylm.chain(p, int(m[0][1]))[:-1]:
+            told.setdefault(x, told[int(m[0][1])])
+    for b, ms in messages.items():
+        u = hpylm.Upper(p, ms)
+        u.seat(p, told, sum(m[1][:4] for m in ms), np.random.default_rng([11, hpylm.ROUNDS - 1, b]))
+        uppers.append(u)
+    words = np.concatenate([u.words[u.trained > 0] for u in uppers])
+    unseen = np.uint64(12345)
+    for shard, t in dealt.items():
+        tok = hpylm.Tokens(p, t["blob"].to_pylist())
+        train = ~tok.held[tok.owner]
+        cu1, cu2 = np.unique(np.column_stack([tok.u1, tok.u2]), axis=0)[:6].T
+        if p.context(shard) <= p.n_words:  # a context never seen below the same last word
+            cu1, cu2 = np.r_[cu1, cu1[:1]], np.r_[cu2, np.uint64(777)]
+        every = np.r_[words, unseen]
+        xs = [np.repeat(cu1, len(every)), np.repeat(cu2, len(every)), np.tile(every, len(cu1))]
+        leaf = hpylm.Leaf(np.r_[tok.w, xs[2]], np.r_[tok.u1, xs[0]], np.r_[tok.u2, xs[1]], np.r_[train, np.zeros(len(xs[0]), bool)])
+        totals = hpylm.listen(p, leaf.words, np.zeros(len(leaf.words), bool), [v for v in heard[shard]["blob"].to_pylist() if hpylm.blobs.unpack(v)[0][0] < 0])[0]
+        replies = np.zeros((6, len(leaf.words)))
+        for u in uppers:
+            at = np.flatnonzero(np.isin(leaf.words, u.words))
+            for k, x in enumerate(u.reply(p, p.context(shard), np.searchsorted(u.words, leaf.words[at]))[1:]):
+                replies[k, at] = x
+        n_above = len(hpylm.chain(p, p.context(shard)))
+        law = hpylm.above(totals, replies, n_above)
+        _, mean, _ = leaf.seat(2 - n_above, law, totals["d2"], totals["d1"], 2, 3, np.random.default_rng(1))
+        per = mean[leaf.of_token[len(tok.w) :]].reshape(len(cu1), len(every)).sum(1)
+        assert np.allclose(per, 1, atol=1e-5), (shard, p.context(shard), per)
+
+
+def plain_sampler(train, test, sweeps=40):
+    """One-process Gibbs over explicit tables, customer by customer; mean log10 probability of the test tokens."""
+    rnd = random.Random(1)
+    theta = hpylm.THETA
+    tables = collections.defaultdict(lambda: collections.defaultdict(list))  # context -> dish -> customers of each table
+    vocab = {w for t in train for w in t} | {None}
+    d = [0.5, 0.5, 0.5]
+
+    def p(w, ctx):
+        if ctx is None:
+            return 1 / (len(vocab) + 1)
+        own = tables[ctx]
+        c, t = sum(own[w]) if w in own else 0, len(own[w]) if w in own else 0
+        size, n = sum(sum(x) for x in own.values()), sum(map(len, own.values()))
+        return (c - d[len(ctx)] * t + (theta + d[len(ctx)] * n) * p(w, ctx[1:] if ctx else None)) / (theta + size)
+
+    def add(w, ctx):
+        if ctx is None:
+            return
+        own, k = tables[ctx], d[len(ctx)]
+        n = sum(map(len, own.values()))
+        weights = [x - k for x in own[w]] + [(theta + k * n) * p(w, ctx[1:] if ctx else None)]
+        i = rnd.choices(range(len(weights)), weights)[0]
+        if i == len(own[w]):
+            own[w].append(1)
+            add(w, ctx[1:] if ctx else None)
+        else:
+            own[w][i] += 1
+
+    def remove(w, ctx):
+        if ctx is None:
+            return
+        own = tables[ctx][w]
+        i = rnd.choices(range(len(own)), own)[0]
+        own[i] -= 1
+        if not own[i]:
+            own.pop(i)
+            if not own:
+                del tables[ctx][w]
+            remove(w, ctx[1:] if ctx else None)
+
+    def places(t):
+        t = ["<1>", "<0>", *t, None]
+        return [(t[i], (t[i - 2], t[i - 1])) for i in range(2, len(t))]
+
+    seats = [x for t in train for x in places(t)]
+    total = collections.Counter()
+    for sweep in range(sweeps):
+        for w, ctx in seats:
+            if sweep:
+                remove(w, ctx)
+            add(w, ctx)
+        for level in range(3):
+            sizes = collections.Counter(sum(x) for c, own in tables.items() if len(c) == level for x in own.values() if x)
+            d[level] = hpylm.discount(sizes[1], sizes[2])
+        if sweep >= sweeps // 2:
+            for k, (w, ctx) in enumerate(x for t in test for x in places(t)):
+                total[k] += p(w, ctx) / (sweeps - sweeps // 2)
+    return sum(map(math.log10, total.values())) / len(total)
+
+
+def test_hpylm_against_a_plain_sampler(spark, monkeypatch):
+    """The same held-out perplexity, whole or dealt over many shards with split contexts."""
+    texts = mixed_texts(random.Random(6), 120, 20)
+    held = [hpylm.held_out(i) for i in range(len(texts))]
+    want = plain_sampler([t.split() for t, h in zip(texts, held, strict=True) if not h], [t.split() for t, h in zip(texts, held, strict=True) if h])
+    for least in (1, 16):
+        monkeypatch.setattr(hpylm, "LEAST_SHARDS", least)
+        out = hpylm.score(make(spark, texts).repartition(3)).toPandas()
+        h = out[out.held_out]
+        assert abs(h.score.sum() / h.n_tokens.sum() - want) < 0.015, (least, h.score.sum() / h.n_tokens.sum(), want)
 
 
 def test_table_draws_follow_their_law():
@@ -148,16 +295,23 @@ def test_table_draws_follow_their_law():
     assert np.allclose(np.bincount(t, minlength=c + 1)[1:] / k, w / w.sum(), atol=0.01)
 
 
-def test_hot_words_are_dealt(spark, monkeypatch):
-    """A word with a third of all tokens is its own group, split by context; scores stay probabilities of whole texts."""
-    monkeypatch.setattr(hpylm, "GROUP_TOKENS", 500)
-    rnd = random.Random(1)
-    texts = [" ".join(rnd.choice(["hot", "hot", f"w{rnd.randint(0, 300)}"]) for _ in range(60)) for _ in range(200)]
-    docs = make(spark, texts)
-    p = hpylm.Plan(hpylm.corpus_counts(docs))
-    assert len(p.hot) >= 1 and p.parts.max() > 1
-    out = hpylm.score(docs).toPandas()
-    assert len(out) == 200 and (out.n_tokens == 61).all() and (out.score < 0).all()
+def test_split_contexts_are_dealt(spark, monkeypatch):
+    """A last word and a pair with a third of all tokens lie over several shards; every text is scored."""
+    texts = mixed_texts(random.Random(1), 200)
+    p = rounds_here(texts, 8)[0]
+    assert p.n_words and len(p.pairs) and all(x >= 2 for x in p.parts)
+    w, u1, u2, _ = hpylm._tokens(texts)
+    got = np.bincount(p.route(u1, u2, np.arange(len(w), dtype=np.uint64)), minlength=p.all_shards)
+    assert got.max() < len(w) / 8
+    out = hpylm.score(make(spark, texts)).toPandas()
+    assert len(out) == 200 and (out.n_tokens >= 41).all() and (out.score < 0).all()
+
+
+def test_codes_round_trip():
+    p = hpylm.Plan([(1, k, 0, 1) for k in (9, 3, 5)], 8)
+    w = np.array([3, 4, 9, 9, 5, 2**47], np.uint64)
+    code, rare = p.encode(w)
+    assert rare.tolist() == [4, 2**47] and p.decode(code, rare).tolist() == w.tolist()
 
 
 # 2 ------------------------------------------------------------------------------------
