@@ -9,24 +9,39 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 
+#: A nomenclature up to this many entries (counted) meets every title directly; a longer one through shared trigrams.
+DIRECT_ENTRIES = 5_000
+
+
 def entries(nomenclature: DataFrame) -> DataFrame:
-    """idx, name, tokens and squashed of entries that are not empty when normalised."""
-    e = nomenclature.select("idx", "name", T.title_tokens(F.col("name")).alias("e_tokens"))
-    return e.withColumn("e_squashed", T.squash(F.col("e_tokens"))).where("e_squashed <> ''")
+    """idx, name, tokens, squashed form and its trigrams of entries that are not empty when normalised."""
+    e = nomenclature.select("idx", "name", T.title_tokens(F.col("name"), compose=True).alias("e_tokens")).withColumn("e_squashed", T.squash(F.col("e_tokens")))
+    return e.where("e_squashed <> ''").withColumn("e_trigrams", T.trigrams(F.col("e_squashed")))
 
 
-def score(titles: DataFrame, nomenclature: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Scores of every distinct title (column ``title``) against every entry.
+def candidates(q: DataFrame, e: DataFrame) -> DataFrame:
+    """Titles with the entries that they are scored against.
 
-    The nomenclature is a dimension of some hundreds of rows and every title must
-    meet all of them (T22: an empty title still has a first entry), so each title
-    carries the pairs in one generated row per entry; nothing is shuffled by pair.
+    Few entries: all, the checked dimension broadcast.  Many: those with a trigram in
+    common, which every equal, contained or similar one has, and the first entry for
+    titles that have none (a title always has a best entry).
     """
-    q = titles.select("title").distinct().withColumn("q_tokens", T.title_tokens(F.col("title"), strip_identifiers=True)).withColumn("q_squashed", T.squash(F.col("q_tokens")))
-    s = q.join(F.broadcast(entries(nomenclature)))
+    if e.count() <= DIRECT_ENTRIES:
+        return q.join(F.broadcast(e))
+    k = q.select("title", F.explode("q_trigrams").alias("t")).join(e.select("idx", F.explode("e_trigrams").alias("t")), "t").select("title", "idx").distinct()
+    first = e.agg(F.min("idx")).first()[0]
+    alone = q.select("title").join(k.select("title").distinct(), "title", "left_anti").select("title", F.lit(first).alias("idx"))
+    return q.join(k.unionByName(alone), "title").join(e, "idx")
+
+
+def score(titles: DataFrame, nomenclature: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """Scores of every distinct title (column ``title``) against its ``candidates``."""
+    q = titles.select("title").distinct().withColumn("q_tokens", T.title_tokens(F.col("title"), strip_identifiers=True, compose=True)).withColumn("q_squashed", T.squash(F.col("q_tokens")))
+    q = q.withColumn("q_trigrams", F.when(F.col("q_squashed") != "", T.trigrams(F.col("q_squashed"))).otherwise(F.array().cast("array<string>")))
+    s = candidates(q, entries(nomenclature))
     s = s.withColumn("exact", ((F.col("q_squashed") != "") & (F.col("q_squashed") == F.col("e_squashed"))).cast("int"))
     s = s.withColumn("containment", ((F.col("q_squashed") != "") & T.contained(F.col("q_squashed"), F.col("e_squashed"))).cast("int"))
-    s = s.withColumn("trigram", T.trigram_jaccard(F.col("q_squashed"), F.col("e_squashed")))
+    s = s.withColumn("trigram", F.when(F.col("q_squashed") == "", 0.0).otherwise(T.jaccard(F.col("q_trigrams"), F.col("e_trigrams"))))
     return s.withColumn("token_set", T.token_set_ratio("q_tokens", "e_tokens") if fuzzy else F.lit(0.0))
 
 
@@ -55,3 +70,19 @@ def categories(nomenclature: DataFrame) -> DataFrame:
     cat = (F.floor(F.col("code") / 1000) * 1000).cast("int")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("code", "name"))), lambda x: F.concat(x["code"].cast("string"), F.lit(" "), x["name"]))
     return nomenclature.groupBy(cat.alias("category")).agg(F.array_join(listed, "; ").alias("listed"))
+
+
+def read_entries(rows: DataFrame, sheet_types: list[str]) -> DataFrame:
+    """A table of codes (idx, raw_code, name) as entries: idx, code, name, category, squashed, tokens, is_sheet_type.
+
+    A row whose code is a multiple of 1000 names the category of those from it on; rows
+    without a name are dropped after that, codes that are no numbers are null.  The
+    order of some hundred rows is one window.
+    """
+    w = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    name = F.regexp_replace(F.coalesce("name", F.lit("")), "^(?U:\\s)+|(?U:\\s)+$", "")
+    d = rows.select("idx", F.col("raw_code").try_cast("double").cast("int").alias("code"), name.alias("name"))
+    d = d.withColumn("category", F.last(F.when(F.col("code") % 1000 == 0, F.col("name")), ignorenulls=True).over(w)).where("name <> ''")
+    d = d.withColumn("tokens", T.title_tokens(F.col("name"), compose=True)).withColumn("squashed", T.squash(F.col("tokens")))
+    known = rows.sparkSession.createDataFrame([(x,) for x in sheet_types], "sheet string").select(T.squash(T.title_tokens(F.col("sheet"), compose=True)).alias("squashed"), F.lit(True).alias("__sheet")).distinct()
+    return d.join(known, "squashed", "left").select("idx", "code", "name", "category", "squashed", "tokens", F.coalesce("__sheet", F.lit(False)).alias("is_sheet_type"))
