@@ -32,22 +32,27 @@ def json_object(raw: Column) -> Column:
     return F.when(found != "", found)
 
 
-def json_field(raw: Column, name: str) -> Column:
-    """One top-level field as text; null when absent or the object is broken."""
-    return F.get_json_object(json_object(raw), f"$.{name}")
+def _parsed(raw: Column) -> Column:
+    """The object inside an array: the parser alone would stop behind it and accept what follows."""
+    return F.try_parse_json(F.concat(F.lit("["), json_object(raw), F.lit("]")))
+
 
+def json_value(raw: Column, name: str) -> Column:
+    """One top-level field as a variant; null when absent, or when the object as a whole doesn't parse."""
+    return F.try_variant_get(_parsed(raw), f"$[0].{name}", "variant")
 
-def truthy(value: Column, default: bool) -> Column:
-    """JSON truth of a field's text: only null, false, 0 and empty are false, so "false" in quotes is true.
 
-    ``get_json_object`` has dropped the quotes; quoted words are told apart before, see ``truthy_field``.
-    """
-    return F.when(value.isNull(), F.lit(default)).otherwise(~value.isin("false", "0", "0.0", "", "null", "[]", "{}"))
+def json_field(raw: Column, name: str) -> Column:
+    """One top-level field as text; null when absent, null itself or in a broken object."""
+    return F.try_variant_get(_parsed(raw), f"$[0].{name}", "string")
 
 
 def truthy_field(raw: Column, name: str, default: bool) -> Column:
-    quoted = json_object(raw).rlike(f'"{name}"\\s*:\\s*"[^"]')
-    return F.when(quoted, F.lit(True)).otherwise(truthy(json_field(raw, name), default))
+    """JSON truth of a top-level field: null, false, 0 and empty ones are false, so "false" in quotes is true."""
+    value, text = json_value(raw, name), json_field(raw, name)
+    kind = F.schema_of_variant(value)
+    true = F.when(kind == "VOID", F.lit(False)).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(F.rlike(kind, F.lit("^(ARRAY|OBJECT)")), ~text.isin("[]", "{}")).otherwise(text.try_cast("double") != 0)
+    return F.when(value.isNull(), F.lit(default)).otherwise(F.coalesce(true, F.lit(False)))
 
 
 def confidence(value: Column, default: float = 50.0) -> Column:

@@ -14,11 +14,18 @@ def uncovered(pieces: DataFrame, totals: DataFrame) -> DataFrame:
     return pages.join(covered, ["file", "page"], "left_anti")
 
 
-def gap_runs(covered: DataFrame) -> DataFrame:
-    """Uncovered runs (file, lo, hi) between the first and last covered page, without enumerating pages."""
+def gap_runs(covered: DataFrame, totals: DataFrame, margin: int = 0) -> DataFrame:
+    """Uncovered runs (file, lo, hi) of pages 2 to total_pages, widened by ``margin``, without enumerating pages.
+
+    Page 1 always starts a document, so it is never part of a run; pages beyond the
+    total cover nothing.
+    """
+    t = totals.select("file", F.col("total_pages").cast("long").alias("total_pages"))
+    inside = covered.select("file", F.col("page").cast("long").alias("page")).join(t, "file").where("page between 1 and total_pages").select("file", "page")
+    ends = t.select("file", F.explode(F.array(F.lit(1).cast("long"), F.col("total_pages") + 1)).alias("page"))
     w = Window.partitionBy("file").orderBy("page")
-    step = covered.select("file", "page").distinct().withColumn("nxt", F.lead("page").over(w))
-    return step.where("nxt > page + 1").select("file", (F.col("page") + 1).alias("lo"), (F.col("nxt") - 1).alias("hi"))
+    step = inside.union(ends).distinct().withColumn("nxt", F.lead("page").over(w))
+    return step.where("nxt > page + 1").select("file", (F.col("page") + 1 - margin).alias("lo"), (F.col("nxt") - 1 + margin).alias("hi"))
 
 
 def coverage_starts(pieces: DataFrame, totals: DataFrame) -> DataFrame:
@@ -34,23 +41,21 @@ def smooth(rotation: DataFrame) -> DataFrame:
     """Page rotations (file, page, deg) smoothed in page order, changes seen by later pages.
 
     A lone upright page between equal rotations takes them, a lone rotated page
-    between upright ones is righted; neighbours are by page number.  The fold's
-    state is one file's result so far.
+    between upright ones is righted; neighbours are by page number.  Only a page
+    whose next one is upright where it is not, or the other way round, can change, so
+    changes pass along alternating pages only: there the rotation goes on as long as
+    it stays equal, and from the first page that breaks it all are upright.
     """
-    pages = rotation.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("page", "deg"))).alias("a"))
-
-    def step(acc, x):
-        prev = F.element_at(acc["done"], -1)
-        nxt = F.get("a", F.size(acc["done"]) + 1)
-        both = (prev["page"] == x["page"] - 1) & (nxt["page"] == x["page"] + 1)
-        fill = both & (x["deg"] == 0) & (prev["deg"] != 0) & (prev["deg"] == nxt["deg"])
-        zero = both & (x["deg"] != 0) & (prev["deg"] == 0) & (nxt["deg"] == 0)
-        deg = F.when(fill, prev["deg"]).when(zero, 0).otherwise(x["deg"])
-        return F.struct(F.concat(acc["done"], F.array(F.struct(x["page"].alias("page"), deg.alias("deg")))).alias("done"))
-
-    first = F.struct(F.slice("a", 1, 1).alias("done"))
-    done = F.aggregate(F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))), first, step, lambda acc: acc["done"])
-    return pages.select("file", F.explode(done).alias("x")).select("file", "x.page", "x.deg")
+    w = Window.partitionBy("file").orderBy("page")
+    at = lambda f, c: f(c).over(w)
+    d = rotation.select("file", "page", "deg", at(F.lag, "deg").alias("prev"), at(F.lead, "deg").alias("next"), at(F.lag, "page").alias("pp"), at(F.lead, "page").alias("np"))
+    both = F.coalesce((F.col("pp") == F.col("page") - 1) & (F.col("np") == F.col("page") + 1), F.lit(False))
+    d = d.withColumn("open", both & ((F.col("deg") == 0) != (F.col("next") == 0)))
+    d = d.withColumn("first", F.col("open") & ~F.coalesce(F.lag("open").over(w), F.lit(False))).withColumn("run", F.count_if(~F.col("open")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.when(F.col("deg") == 0, F.col("prev") == F.col("next")).otherwise(~F.col("first") | (F.col("prev") != 0))
+    goes_on = F.min(F.when(F.col("open"), same.cast("int"))).over(Window.partitionBy("file", "run").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)) == 1
+    deg = F.when(~F.col("open"), F.col("deg")).when(~goes_on, 0).when(F.col("deg") == 0, F.col("next")).otherwise(F.col("deg"))
+    return d.select("file", "page", deg.alias("deg"))
 
 
 def extend_runs(smoothed: DataFrame, corroboration: DataFrame) -> DataFrame:

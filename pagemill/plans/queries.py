@@ -127,7 +127,7 @@ def docs_exact(spark, sf):
 
 MANIFEST_SQL = f"""with {TP}, i as (select tr.file, tr.page as start, coalesce(lead(tr.page) over w - 1, total_pages) as e, row_number() over w as ordinal
     from tr join tot on tot.file = tr.file window w as (partition by tr.file order by tr.page)),
-  d as (select i.*, (i.start * 100)::int as code, t.text[1:60] as name, (i.file % 10) / 10 < 0.8 and i.start <> 1 as flagged from i join t on t.file = i.file and t.page = i.start)
+  d as (select i.*, (i.start * 100)::int as code, t.text as name, (i.file % 10) / 10 < 0.8 and i.start <> 1 as flagged from i join t on t.file = i.file and t.page = i.start)
   select file, start::bigint as start, e::bigint as "end", ordinal::int as ordinal,
     'f' || file || '_' || lpad(ordinal::varchar, 3, '0') || '_' || lpad(code::varchar, 5, '0') || '_' ||
     regexp_replace(trim(regexp_replace(name, '[/\\\\:*?"<>|]', '-', 'g'), chr(32) || chr(9) || chr(10) || chr(13)), '\\s+', '_', 'g')[1:50] || case when flagged then '_REVIEW' else '' end || '.pdf' as out_name,
@@ -138,7 +138,7 @@ MANIFEST_SQL = f"""with {TP}, i as (select tr.file, tr.page as start, coalesce(l
 def doc_ranges_manifest(spark, sf):
     """O-W2, O-W3, O-F9, O-F10, O-P4, O-K1: one output per document."""
     t, _ = truth_pred(spark, sf)
-    d = S.intervals(t, totals(spark, sf)).join(turns(spark, sf).select("file", F.col("page").alias("start"), F.substring("text", 1, 60).alias("name")), ["file", "start"])
+    d = S.intervals(t, totals(spark, sf)).join(turns(spark, sf).select("file", F.col("page").alias("start"), F.col("text").alias("name")), ["file", "start"])
     d = d.withColumn("code", (F.col("start") * 100).cast("int")).withColumn("flagged", V.review_flag(F.pmod("file", F.lit(10)) / 10, F.col("start")))
     named = sinks.manifest(d.withColumn("file", F.concat(F.lit("f"), F.col("file"))))
     return named.withColumn("file", F.substring("file", 2, 20).cast("bigint")).select("file", F.col("start").cast("bigint"), F.col("end").cast("bigint"), "ordinal", "out_name", "pages")
@@ -153,13 +153,14 @@ def page_context_window(spark, sf):
     return turns(spark, sf).select("file", "page", context.alias("context"), F.coalesce(F.lag("role").over(w), F.lit("none")).alias("prev_role"), F.coalesce(F.lead("role").over(w), F.lit("none")).alias("next_role"))
 
 
-@query("""with c as (select distinct o_custkey as file, datediff('day', timestamp '1992-01-01', o_orderdate) as page from orders),
-  n as (select *, lead(page) over (partition by file order by page) as nxt from c)
-  select file, (page + 1)::bigint as lo, (nxt - 1)::bigint as hi from n where nxt > page + 1""")
+@query("""with c as (select distinct o_custkey as file, datediff('day', timestamp '1992-01-01', o_orderdate) // 20 as page from orders), t as (select file, max(page) + file % 3 as total from c group by file),
+  g as (select t.file, p.page from t, generate_series(2, (select max(total) from t)) p(page) where p.page <= total and not exists (select 1 from c where c.file = t.file and c.page = p.page)),
+  i as (select *, page - row_number() over (partition by file order by page) as k from g) select file, (min(page) - 1)::bigint as lo, (max(page) + 1)::bigint as hi from i group by file, k""")
 def gap_runs(spark, sf):
-    """O-W5: days without an order between a customer's orders."""
-    c = table(spark, sf, "orders").select(F.col("o_custkey").alias("file"), F.datediff("o_orderdate", F.lit("1992-01-01")).cast("bigint").alias("page"))
-    return R.gap_runs(c)
+    """O-W5: runs of 20-day spans without an order, one span wider on both sides; the first and last ones too."""
+    c = table(spark, sf, "orders").select(F.col("o_custkey").alias("file"), F.floor(F.datediff("o_orderdate", F.lit("1992-01-01")) / 20).alias("page"))
+    t = c.groupBy("file").agg((F.max("page") + F.col("file") % 3).alias("total_pages"))
+    return R.gap_runs(c, t, margin=1)
 
 
 PIECES_SQL = f"""{TP}, pc as (select file, page as start_page, 1 + page % 2 as n_pages from t where (file + page) % 3 = 0),
@@ -237,9 +238,11 @@ def rotation_smooth(spark, sf):
     return R.smooth(t.select("file", F.col("page").cast("int").alias("page"), ((F.col("file") * 7 + turn * turn * 5 + turn) % 3 % 2 * 90).cast("int").alias("deg")))
 
 
-@query(None)
+@query("""with s as (select conv_id as file, (turn + 1)::int as page, case when (conv_id + turn + 1) % 4 < 2 then 90 else 0 end as deg from conversations),
+  r as (select file, min(page) as lo, max(page) as hi, arg_min(deg, page) as d from (select *, page - row_number() over (partition by file order by page) as i from s where deg <> 0) group by file, i having count(*) > 1)
+  select s.file, s.page, case when s.deg <> 0 or (s.file * s.page) % 2 <> 1 then s.deg else coalesce((select d from r where r.file = s.file and r.hi = s.page - 1), (select d from r where r.file = s.file and r.lo = s.page + 1), s.deg) end as deg from s""")
 def rotation_extend(spark, sf):
-    """O-W7: corroborated run edges (tests hold it against a page-by-page version)."""
+    """O-W7: runs of two rotated pages or more take in a corroborated upright page on either side."""
     t = turns(spark, sf)
     rot = t.select("file", F.col("page").cast("int").alias("page"), (F.when((F.col("file") + F.col("page")) % 4 < 2, 90).otherwise(0)).alias("deg"))
     return R.extend_runs(rot, t.where("(file * page) % 2 = 1").select("file", F.col("page").cast("int").alias("page"), F.lit(90).alias("deg")))
@@ -273,7 +276,7 @@ def title_norm(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.squash(tokens).alias("squashed"), F.size(tokens).alias("n_tokens"))
 
 
-PAIR_SQL = f"""a as (select page_id, array_to_string(({NORM.format(TITLE)})[1:3], '') as q from pages),
+PAIR_SQL = f"""a as (select page_id, array_to_string({NORM.format(TITLE)}, '') as q from pages),
   b as (select p_partkey, array_to_string({NORM.format("p_name || ' ' || p_type")}, '') as e from part),
   ab as (select page_id, q, e from a join b on p_partkey = page_id)"""
 
@@ -319,7 +322,7 @@ def _titles(spark, sf) -> DataFrame:
 MATCH_SQL = f"""kinds as (select p_name || ' ' || p_type as name, min(p_partkey) as code from part group by 1),
   nom as (select name, code, row_number() over (order by name) as idx, array_to_string({NORM.format('name')}, '') as e from kinds),
   ti as (select distinct case p_partkey % 4 when 0 then f when 1 then f[1:3] || f[5:] when 2 then f || ' №12/3' else p_name end as title
-    from (select p_partkey, p_name, p_name || ' ' || p_type as f from part where p_partkey < 400)),
+    from (select p_partkey, p_name, p_name || ' ' || p_type as f from part)),
   q as (select title, array_to_string({NORM.format("array_to_string(list_filter(string_split_regex(title, chr(92) || 's+'), lambda t: not regexp_matches(t, '[0-9№#]')), ' ')")}, '') as q from ti),
   sc as (select title, idx, name, (q <> '' and q = e)::int as exact, (q <> '' and least(length(q), length(e)) >= 5 and least(length(q), length(e)) >= 0.45 * greatest(length(q), length(e))
      and (contains(q, e) or contains(e, q)))::int as containment, {TRI.format('q')} as tq, {TRI.format('e')} as te, q from q, nom where e <> ''),
@@ -394,7 +397,7 @@ def json_verdict_parse(spark, sf):
     )
 
 
-@query("""select conv_id, turn, translate(regexp_replace(lower(text[1:40]), '[^0-9a-zа-я]', '', 'g'), 'copaexy', 'сораеху') as ident,
+@query("""select conv_id, turn, translate(regexp_replace(lower(text), '[^0-9a-zа-я]', '', 'g'), 'copaexy', 'сораеху') as ident,
   lower(trim(role)) not in ('', 'none', 'system') as is_grounded from conversations""")
 def identifier_fold(spark, sf):
     """O-F7, O-F8."""
@@ -527,7 +530,7 @@ def timing_summary(spark, sf):
     s = e.withColumn("sec", T.elapsed(T.clock_seconds(F.col("a")), T.clock_seconds(F.col("b"))))
     g = s.agg(
         F.count(F.lit(1)).alias("n"), F.sum("sec").alias("total_s"), F.round(F.avg("sec"), 4).alias("s_per_file"), F.sum("pages").alias("pages"),
-        F.round(F.sum("pages") / F.count(F.lit(1)), 4).alias("pages_per_file"), F.round(F.sum("sec") / F.sum("pages"), 4).alias("s_per_page"),
+        F.round(F.sum("pages") / F.count(F.lit(1)), 4).alias("pages_per_file"), F.round(S.ratio(F.sum("sec"), F.sum("pages")), 4).alias("s_per_page"),
     )
     return g.withColumn("total", T.hms(F.col("total_s")))
 
@@ -761,8 +764,7 @@ DECISION_SQL = f"""with v as ({ANSWERS}{PAGES}),
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    table(spark, sf, "conversations").createOrReplaceTempView("conversations")
-    d = spark.sql(ANSWERS + PAGES)
+    d = spark.sql((ANSWERS + PAGES).replace("from conversations", "from {conversations}"), conversations=table(spark, sf, "conversations"))
     return d.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in d.dtypes])
 
 

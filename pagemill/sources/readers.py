@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -61,22 +62,29 @@ def page_ranges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source, line_no, line) with the order of each file.
+    """(source, line_no, line) with the order of each file, from 0; undecodable bytes become U+FFFD.
 
-    A file is one value here (logs are MBs); order inside comes from the array
-    position, not from how the scan was split.
+    Files are read in splits, so one may be of any size: a line's number is its place
+    in its split plus the lines of the file's splits before.
     """
-    t = spark.read.format("binaryFile").load(path).select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("line_no", "line"))
-    return t.select(F.col("path").alias("source"), "line_no", "line")
+    t = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.expr("make_valid_utf8(value)").alias("line"), F.monotonically_increasing_id().alias("at")
+    )
+    sizes = t.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("source", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy("source", "block").orderBy("at")) - 1
+    numbered = t.withColumn("local", local).join(before, ["source", "block"])
+    return numbered.select("source", (F.col("before") + F.col("local")).cast("int").alias("line_no"), "line")
 
 
 def pdf_listing(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Paths of PDF files.  Flat: any case of the suffix; recursive: ``.pdf`` only, nothing below a folder named split."""
+    """Paths of PDF files in order.  Flat: any case of the suffix; recursive: ``.pdf`` only, nothing below a folder named split."""
     r = spark.read.format("binaryFile")
     if recursive:
         files = r.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path)
-        return files.select("path").where(~F.array_contains(F.split("path", "/"), "split"))
-    return r.load(path).select("path").where(F.lower("path").endswith(".pdf"))
+        return files.select("path").where(~F.array_contains(F.split("path", "/"), "split")).orderBy("path")
+    return r.load(path).select("path").where(F.lower("path").endswith(".pdf")).orderBy("path")
 
 
 def usage(spark: SparkSession, path: str) -> DataFrame:
@@ -87,3 +95,9 @@ def piece_starts(paths: DataFrame) -> DataFrame:
     """First page of a split piece from its name ``..<n>_PDFsam_<stem>.pdf``: (path, stem, start_page)."""
     rx = "(\\d+)_PDFsam_([^/]*)\\.[pP][dD][fF]$"
     return paths.where(F.col("path").rlike(rx)).select("path", F.regexp_extract("path", rx, 2).alias("stem"), F.regexp_extract("path", rx, 1).cast("int").alias("start_page"))
+
+
+def nomenclature_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, raw_code, name) of a CSV file without header, in its order (see ``operators.matching.read_entries``)."""
+    t = spark.read.csv(path, schema="raw_code string, name string")
+    return t.select((F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).alias("idx"), "raw_code", "name")

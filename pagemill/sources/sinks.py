@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,31 @@ def shard(inputs: DataFrame, listed: DataFrame) -> DataFrame:
     both = listed.select(F.col("name").alias("__n")).distinct()
     a = inputs.join(both, F.col("path") == F.col("__n"), "left_semi")
     return a.union(inputs.join(both, F.col("rel_path") == F.col("__n"), "left_semi")).distinct()
+
+
+def write_evaluation_set(path: str, truth: DataFrame, strata: DataFrame, masks: DataFrame) -> None:
+    """The three tables of an evaluation set below ``path``."""
+    for name, df in (("truth", truth), ("strata", strata), ("masks", masks)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_state(path: str, todo: DataFrame, predictions: DataFrame) -> int:
+    """Pending requests, and predictions only where none is pending; the exit code: 3 while some are, else 0."""
+    todo.write.mode("overwrite").json(f"{path}/pending")
+    if not todo.isEmpty():
+        return 3
+    predictions.write.mode("overwrite").json(f"{path}/predictions")
+    return 0
+
+
+def cached(path: str, requests: DataFrame, key: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A table of what ``make`` gives per ``key``, kept below ``path``: only requests that it lacks are made and appended."""
+    spark, keys = requests.sparkSession, requests.select(*key).distinct()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        new = requests.join(spark.read.parquet(path).select(*key), key, "left_anti")
+        if not new.isEmpty():
+            make(new).write.mode("append").parquet(path)
+    else:
+        make(requests).write.parquet(path)
+    return spark.read.parquet(path).join(keys, key, "left_semi")
