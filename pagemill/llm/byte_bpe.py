@@ -235,14 +235,14 @@ def _blocks(bits: int, pattern: str):
 
 
 def _replay(path: str, ranks, pattern: str):
-    """A bucket's words replayed, the answers to the blocks that asked; a block itself goes on."""
+    """A bucket's words replayed, the answers to the blocks that asked."""
 
     def run(t: pa.Table) -> pa.Table:
         import regex
 
         key = t["key"][0].as_py()
-        if key < 0:
-            return pa.Table.from_arrays([pa.array([-1 - key], pa.int64()), pa.array([True]), t["blob"]], ["uid", "block", "blob"])
+        if key < 0:  # a block
+            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["key", "blob"])
         vocabulary, find = _vocabulary(path, ranks), regex.compile(pattern).findall
         asked, words = [], {}
         for v in t["blob"].to_pylist():
@@ -273,9 +273,9 @@ def _replay(path: str, ranks, pattern: str):
         uids, values = [], []
         for uid, place, keys in asked:
             ids = [words[k] for k in keys]
-            uids.append(uid)
+            uids.append(-1 - uid)
             values.append(blobs.pack(place, np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4"), rising=(0,)))
-        return pa.Table.from_arrays([pa.array(uids, pa.int64()), pa.array([False] * len(uids)), pa.array(values, pa.binary())], ["uid", "block", "blob"])
+        return pa.Table.from_arrays([pa.array(uids, pa.int64()), pa.array(values, pa.binary())], ["key", "blob"])
 
     return run
 
@@ -283,15 +283,15 @@ def _replay(path: str, ranks, pattern: str):
 def _assemble(path: str, ranks, keep_ids: bool):
     """A block's texts from its words' identifiers."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         vocabulary = _vocabulary(path, ranks)
+        none, doc_id, n_words, words = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint32)
+        if len(block) and block["key"][0].as_py() < 0:
+            doc_id, none, n_words, words = blobs.unpack(block["blob"][0].as_py())
         place, size, flat = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
-        for is_block, v in zip(t["block"].to_pylist(), t["blob"].to_pylist(), strict=True):
-            if is_block:
-                doc_id, none, n_words, words = blobs.unpack(v)
-            else:
-                for into, x in zip((place, size, flat), blobs.unpack(v), strict=True):
-                    into.append(x)
+        for v in answers["blob"].to_pylist():
+            for into, x in zip((place, size, flat), blobs.unpack(v), strict=True):
+                into.append(x)
         place, size, flat = np.concatenate(place), np.concatenate(size).astype(np.int64), np.concatenate(flat)
         start = np.cumsum(size) - size
         length, at = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
@@ -327,10 +327,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = Fals
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with ``keep_ids`` also ids (array<int>)."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     bits = blobs.bucket_count(docs, BUCKET_BYTES, LEAST_BUCKETS).bit_length() - 1
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(bits, pattern), "key long, blob binary")
-    answers = packed.groupBy("key").applyInArrow(_replay(ranks_path, ranks, pattern), "uid long, block boolean, blob binary")
+    # Blocks and questions are dealt by key once; both steps read the same exchange.
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(bits, pattern), "key long, blob binary").groupBy("key")
+    answers = packed.applyInArrow(_replay(ranks_path, ranks, pattern), "key long, blob binary").groupBy("key")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return answers.groupBy("uid").applyInArrow(_assemble(ranks_path, ranks, keep_ids), schema)
+    return packed.cogroup(answers).applyInArrow(_assemble(ranks_path, ranks, keep_ids), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
