@@ -4,17 +4,20 @@ Sets are the distinct five-word shingles of a text (a shorter text is one
 shingle), as 48-bit hashes (two texts of 500 words mistake a shingle once in 10^9
 pairs); two link when 100 * |A n B| >= 75 * |A u B|.
 
-1. *Lists.*  Each task packs (hash, document) postings by hash bucket.  A bucket
-   holds whole inverted lists: equal sets (same 128-bit digest) collapse into the
-   member with the smallest doc_id, lists of one set are dropped, exact list
-   lengths become the token order.
-2. *Index-level skipping.*  A set with fewer shared shingles than any link needs
+1. *Copies.*  Texts are dealt once into blocks of some MB.  Equal word sequences
+   collapse into the member with the smallest doc_id, which stands for all.
+2. *Lists.*  A block sends each hash bucket its distinct shingles once, with the
+   number of its sets that have them; buckets add up list lengths and send back those
+   of shingles that two sets or more have.  Blocks then order their sets' shared
+   shingles by list length.  A shingle in every text costs its bucket one entry per
+   block, and no list is gathered anywhere.
+3. *Index-level skipping.*  A set with fewer shared shingles than any link needs
    is out.  Others enter the index with the rare end of their shingles only
    (prefix), in blocks by size and position; a block is skipped as a whole if its
    best possible overlap is too small.
-3. *Stars.*  In each list every set is compared with one leader, not with all.
+4. *Stars.*  In each list every set is compared with one leader, not with all.
    A set keeps its leader as pivot, linked or not, with their two differences.
-4. *Answer-level skipping.*  Pairs still in different components are settled from
+5. *Answer-level skipping.*  Pairs still in different components are settled from
    the pivot's answers.  Under one pivot the differences alone give the overlap,
    and only pairs that can link by it are made; otherwise |x n z| is
    |p n z| - |(p-x) n z| + |(x-p) n z|, and often the sizes of the differences
@@ -24,15 +27,17 @@ Pairs within a component are never enumerated; every link between components is
 found, so components are exact.
 
 Defined results: null and blank texts have an empty set, link with nothing and
-are components of their own; rows with equal doc_id count as copies or as linked
-texts like any others, and each gets a row; extra columns are ignored.  A null
-doc_id gets a row with a null component unless a linked document has an id.
+are components of their own; rows are told apart by doc_id and text, so rows with
+equal or null doc_id and other texts are sets of their own, linked or not like any
+others, and each row gets a result; a component's id is its smallest doc_id, null
+only if no member has one; very long texts are whole sets; an empty table gives
+none; extra columns are ignored, whatever their names.  ``clean`` keeps of each
+component the text of the smallest doc_id (of several, that with the smallest hash);
+rows equal in doc_id and text stay or go together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,15 +45,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import Workspace, joined
+from .common import Workspace, digest128, joined
 
 N = 5
-FLUSH = 1_500_000
-BUCKET_BYTES = 16_000_000
+BLOCK_BYTES, BUCKET_BYTES, LEAST = 8_000_000, 32_000_000, 64
 LONG_LIST = 2_000
 HASH_BITS = 48
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 NO_ID = np.iinfo(np.int64).max
+_BLK = "__pagemill_block"
+_MESSAGE = f"{_BLK} int, blob binary"
+REPS, LENGTHS = 1, 2
 
 
 def shingle_set(text: str | None, n: int = N) -> np.ndarray:
@@ -63,99 +70,167 @@ def shingle_set(text: str | None, n: int = N) -> np.ndarray:
     return np.unique(blobs.mix(s) >> np.uint64(64 - HASH_BITS))
 
 
-def _pack(ids: list[int], sets: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
-    """Postings of some documents by hash bucket, with the table of the documents in it."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    sig = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<u8") for s in sets], np.uint64).reshape(-1, 2)
-    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(ids)), sizes)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    bucket = (every >> np.uint64(HASH_BITS - bits)).astype(np.int64)
-    home = np.array([int(s[0] >> np.uint64(HASH_BITS - bits)) if len(s) else 0 for s in sets], np.int64)
-    edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-    ids_ = np.array(ids, np.int64)
-    for b in range(1 << bits):
-        own = owner[edges[b] : edges[b + 1]]
-        present = np.union1d(own, np.flatnonzero((home == b) & (sizes == 0)))
-        if len(present):
-            local = np.searchsorted(present, own).astype(np.uint32)
-            yield b, blobs.pack(ids_[present], sizes[present].astype(np.uint32), sig[present, 0], sig[present, 1], (home[present] == b).astype(np.uint8), every[edges[b] : edges[b + 1]], local, rising=(0, 5))
-
-
-_SHARED = "doc_id long, n int, home boolean, rep long, fps array<long>, dfs array<int>"
-_SHARED_PA = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("home", pa.bool_()), ("rep", pa.int64()), ("fps", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32()))])
-
-
-def _lists(t: pa.Table) -> pa.Table:
-    """Whole inverted lists of one bucket: each document's class, and the shared shingles of class representatives."""
-    docs: list[list[np.ndarray]] = []
-    hashes, owners, base = [], [], 0
-    for v in t["blob"].to_pylist():
-        ids, n, s0, s1, home, h, local = blobs.unpack(v)
-        docs.append([ids, n, s0, s1, home])
-        hashes.append(h)
-        owners.append(local.astype(np.int64) + base)
-        base += len(ids)
-    ids, n, s0, s1, home = (np.concatenate(x) for x in zip(*docs, strict=True))
-    h, owner = np.concatenate(hashes), np.concatenate(owners)
-    # Classes: equal digests; the first in (digest, doc_id) order stands for all.
-    by = np.lexsort((ids, s1, s0))
+class Block:
+    """The distinct (doc_id, text) of one block in order, each row's place among them, and a key for every one."""
+
+    def __init__(self, t: pa.Table, n: int):
+        self.blk, self.n = t[_BLK][0].as_py(), n
+        rows = list(zip([NO_ID if i is None else i for i in t["doc_id"].to_pylist()], [x or "" for x in t["text"].to_pylist()], strict=True))
+        self.docs = sorted(set(rows))
+        place = {k: i for i, k in enumerate(self.docs)}
+        self.of_row = np.array([place[k] for k in rows], np.int64)
+        self.ids = np.array([d[0] for d in self.docs], np.int64)
+        self.keys = (np.int64(self.blk) << np.int64(32)) + np.arange(len(self.docs), dtype=np.int64)
+
+    def hear(self, values: list[bytes]) -> list[list[np.ndarray]]:
+        """Takes in which sets stand for others; the other messages."""
+        self.rep, self.rep_doc, rest = self.keys.copy(), self.ids.copy(), []
+        for v in values:
+            kind, *cols = blobs.unpack(v)
+            if kind[0] == REPS:
+                self.rep[cols[0]], self.rep_doc[cols[0]] = cols[1], cols[2]
+            else:
+                rest.append(cols)
+        self.stands = self.rep == self.keys
+        return rest
+
+    def sets(self) -> list[np.ndarray]:
+        return [shingle_set(text, self.n) for _, text in self.docs]
+
+    def lists(self, sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingles of the sets that stand for themselves, how many of those have each, and where buckets begin."""
+        own = [x for x, stands in zip(sets, self.stands, strict=True) if stands]
+        h, n = np.unique(np.concatenate(own) if own else np.empty(0, np.uint64), return_counts=True)
+        return h, n, np.searchsorted(h >> np.uint64(HASH_BITS - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
+def _rows(keys: list[int], values: list[bytes], name: str = _BLK) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], [name, "blob"])
+
+
+def _digests(n: int, bits: int):
+    """Digests of a block's word sequences, by bucket."""
+
+    def run(t: pa.Table) -> pa.Table:
+        b = Block(t, n)
+        ws = [blobs.words(text) for _, text in b.docs]
+        some = np.flatnonzero([len(w) > 0 for w in ws])
+        sig = np.array([np.frombuffer(xxhash.xxh3_128_digest(b" ".join(ws[i])), "<u8") for i in some], np.uint64).reshape(-1, 2)
+        bucket = (sig[:, 0] >> np.uint64(64 - bits)).astype(np.int64)
+        keys, values = [], []
+        for k in np.unique(bucket).tolist():
+            at = np.flatnonzero(bucket == k)
+            keys.append(k)
+            values.append(blobs.pack(np.array([b.blk], np.int64), some[at].astype(np.uint32), sig[at, 0], sig[at, 1], b.ids[some[at]], rising=(1,)))
+        return _rows(keys, values, "bucket")
+
+    return run
+
+
+def _classes(t: pa.Table) -> pa.Table:
+    """Per class of two or more: to each member's block, the key and doc_id of the first by (doc_id, key)."""
+    parts = [blobs.unpack(v) for v in t["blob"].to_pylist()]
+    place, s0, s1, ids = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
+    blk = np.repeat([int(p[0][0]) for p in parts], [len(p[1]) for p in parts]).astype(np.int64)
+    key = (blk << np.int64(32)) + place.astype(np.int64)
+    by = np.lexsort((key, ids, s1, s0))
     new = np.ones(len(by), bool)
     new[1:] = (s0[by][1:] != s0[by][:-1]) | (s1[by][1:] != s1[by][:-1])
     first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
-    rep_of = np.empty(len(by), np.int64)
-    rep_of[by] = first
-    rep_of = np.where(n == 0, np.arange(len(ids)), rep_of)
-    is_rep = rep_of == np.arange(len(ids))
-    mine = is_rep[owner]
-    h, owner = h[mine], owner[mine]
-    order = np.argsort(h, kind="stable")
-    h, owner = h[order], owner[order]
-    cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-    df = np.repeat(np.diff(np.r_[cut, len(h)]), np.diff(np.r_[cut, len(h)]))
-    h, owner, df = h[df > 1], owner[df > 1], df[df > 1]
-    order = np.argsort(owner, kind="stable")
-    h, owner, df = h[order], owner[order], df[order]
-    counts = np.bincount(owner, minlength=len(ids))
-    rows = np.flatnonzero((home == 1) | (counts > 0))
-    ends = np.r_[0, np.cumsum(counts)]
-    offsets = pa.array(np.r_[0, np.cumsum(counts[rows])], pa.int32())
-    assert ends[-1] == len(h)
-    unknown = lambda a: pa.array(a, pa.int64(), mask=a == NO_ID)
-    return pa.Table.from_arrays(
-        [unknown(ids[rows]), pa.array(n[rows].astype(np.int32)), pa.array(home[rows] == 1), unknown(ids[rep_of[rows]]),
-         pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(df.astype(np.int32)))],
-        schema=_SHARED_PA,
-    )
+    later = ~new
+    me, rep = by[later], first[later]
+    order = np.lexsort((place[me], blk[me]))
+    me, rep = me[order], rep[order]
+    at = np.r_[0, np.flatnonzero(np.diff(blk[me])) + 1, len(me)] if len(me) else np.array([0])
+    keys, values = [], []
+    for x, y in zip(at, at[1:], strict=False):
+        keys.append(int(blk[me[x]]))
+        values.append(blobs.pack(np.array([REPS], np.uint8), place[me[x:y]], key[rep[x:y]], ids[rep[x:y]], rising=(1,)))
+    return _rows(keys, values)
+
+
+def _send(n: int, bits: int):
+    """A block's distinct shingles to every bucket."""
+
+    def run(t: pa.Table, heard: pa.Table) -> pa.Table:
+        if not len(t):
+            return _rows([], [], "bucket")
+        b = Block(t, n)
+        b.hear(heard["blob"].to_pylist())
+        h, count, edges = b.lists(b.sets(), bits)
+        keys = np.flatnonzero(np.diff(edges)).tolist()
+        return _rows(keys, [blobs.pack(np.array([b.blk], np.int64), h[edges[k] : edges[k + 1]], count[edges[k] : edges[k + 1]].astype(np.uint32), rising=(1,)) for k in keys], "bucket")
+
+    return run
+
+
+def _lengths(t: pa.Table) -> pa.Table:
+    """List lengths of a bucket's shingles in two sets or more, to each block that has them."""
+    bucket = t["bucket"][0].as_py()
+    parts = [blobs.unpack(v) for v in t["blob"].to_pylist()]
+    h, at = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+    total = np.bincount(at, np.concatenate([p[2] for p in parts]), len(h)).astype(np.uint32)
+    ends = np.cumsum([len(p[1]) for p in parts])
+    keys, values = [], []
+    for p, mine in zip(parts, np.split(total[at], ends[:-1]), strict=True):
+        shared = np.flatnonzero(mine > 1)
+        if len(shared):
+            keys.append(int(p[0][0]))
+            values.append(blobs.pack(np.array([LENGTHS], np.uint8), np.array([bucket], np.int64), shared.astype(np.uint32), mine[shared], rising=(2,)))
+    return _rows(keys, values)
+
+
+_SHARED = "doc_id long, t0 long, t1 long, n int, key long, rep long, rep_doc long, fps array<long>, dfs array<int>"
+
+
+def _shared(n: int, bits: int):
+    """Every row's set size and who stands for it; for the sets that stand, shared shingles by (list length, hash)."""
+
+    def run(t: pa.Table, heard: pa.Table) -> pa.Table:
+        if not len(t):
+            return pa.table({k: pa.array([], v) for k, v in types})
+        b = Block(t, n)
+        lengths = b.hear(heard["blob"].to_pylist())
+        sets = b.sets()
+        h, _, edges = b.lists(sets, bits)
+        df = np.zeros(len(h), np.int32)
+        for bucket, place, length in lengths:
+            df[edges[bucket[0]] + place.astype(np.int64)] = length
+        none = np.empty(0, np.int64)
+        fps, dfs = [none] * len(sets), [none] * len(sets)
+        for i in np.flatnonzero(b.stands).tolist():
+            d = df[np.searchsorted(h, sets[i])]
+            m = int((d > 1).sum())
+            # Fewer shared shingles than any link needs: out.
+            if m and 4 * m >= 3 * len(sets[i]):
+                x, d = sets[i][d > 1], d[d > 1]
+                by = np.lexsort((x, d))
+                fps[i], dfs[i] = x[by].view(np.int64), d[by]
+        size = np.array([len(x) for x in sets], np.int32)
+        r = b.of_row
+        # Of equal rows the first carries the set.
+        once = np.zeros(len(r), bool)
+        once[np.unique(r, return_index=True)[1]] = True
+        unknown = lambda a: pa.array(a, pa.int64(), mask=a == NO_ID)
+        cols = [t["doc_id"], t["t0"], t["t1"], pa.array(size[r]), pa.array(b.keys[r]), pa.array(b.rep[r]), unknown(b.rep_doc[r])]
+        cols += [pa.array([x[i] if o else none for i, o in zip(r.tolist(), once.tolist(), strict=True)], kind) for x, kind in ((fps, pa.list_(pa.int64())), (dfs, pa.list_(pa.int32())))]
+        return pa.Table.from_arrays(cols, [k for k, _ in types])
+
+    types = [("doc_id", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("rep", pa.int64()), ("rep_doc", pa.int64()), ("fps", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32()))]
+    return run
 
 
 def shared(docs: DataFrame, n: int = N) -> DataFrame:
-    """Rows (document, bucket): set size, class representative, and shingles that other sets have too."""
-    bits = blobs.bucket_count(docs, BUCKET_BYTES, 64).bit_length() - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        sets: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            made = list(_pack(ids, sets, bits))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.array([v for _, v in made], pa.binary())], ["bucket", "blob"])
-
-        for b in batches:
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids.append(NO_ID if i is None else i)
-                sets.append(shingle_set(text, n))
-                held += len(sets[-1]) + 8
-                if held > FLUSH:
-                    yield flush()
-                    ids, sets, held = [], [], 0
-        if ids:
-            yield flush()
-
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, blob binary")
-    return packed.groupBy("bucket").applyInArrow(_lists, _SHARED)
+    """A row per document: size of its set, the key of the set that stands for it and that one's doc_id; see ``_shared``."""
+    blocks = blobs.bucket_count(docs, BLOCK_BYTES, LEAST)
+    bits = blobs.bucket_count(docs, BUCKET_BYTES, LEAST).bit_length() - 1
+    ids = F.col("doc_id").cast("long")
+    t0, t1 = digest128(F.coalesce(F.col("text"), F.lit("")))
+    # One exchange of the texts; every step reads it.
+    dealt = docs.select(ids.alias("doc_id"), "text", t0.alias("t0"), t1.alias("t1"), F.pmod(F.xxhash64(ids, F.col("text")), F.lit(blocks)).cast("int").alias(_BLK)).groupBy(_BLK)
+    reps = dealt.applyInArrow(_digests(n, bits), "bucket int, blob binary").groupBy("bucket").applyInArrow(_classes, _MESSAGE)
+    lengths = dealt.cogroup(reps.groupBy(_BLK)).applyInArrow(_send(n, bits), "bucket int, blob binary").groupBy("bucket").applyInArrow(_lengths, _MESSAGE)
+    return dealt.cogroup(reps.unionByName(lengths).groupBy(_BLK)).applyInArrow(_shared(n, bits), _SHARED)
 
 
 def linked(both: Column, n1: Column, n2: Column) -> Column:
@@ -164,18 +239,10 @@ def linked(both: Column, n1: Column, n2: Column) -> Column:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """Sets that can have a link: doc_id, n, shared shingles in (list length, hash) order."""
-    pairs = F.arrays_zip("dfs", "fps")
-    return (
-        rows.where(F.size("fps") > 0)
-        .groupBy("doc_id")
-        .agg(F.max("n").alias("n"), F.flatten(F.collect_list(pairs)).alias("p"), F.sum(F.size("fps")).alias("n_shared"))
-        .where(4 * F.col("n_shared") >= 3 * F.col("n"))
-        .select("doc_id", "n", F.array_sort("p").alias("p"))
-        .select("doc_id", "n", F.transform("p", lambda x: x["fps"]).alias("fps"), F.transform("p", lambda x: x["dfs"]).alias("dfs"))
-        # How common its shingles are: an original has more of them in common than any of its edited copies.
-        .withColumn("hub", F.aggregate("dfs", F.lit(0).cast("long"), lambda a, x: a + x) / F.col("n"))
-    )
+    """Sets that can have a link: doc_id (their key from here on), n, shared shingles in (list length, hash) order."""
+    # How common its shingles are: an original has more of them in common than any of its edited copies.
+    hub = F.aggregate("dfs", F.lit(0).cast("long"), lambda a, x: a + x) / F.col("n")
+    return rows.where(F.size("fps") > 0).select(F.col("key").alias("doc_id"), "n", "fps", "dfs", hub.alias("hub"))
 
 
 def _index(sets: DataFrame) -> DataFrame:
@@ -330,12 +397,12 @@ def _from_pivots(pairs: DataFrame, groups: DataFrame, sets: DataFrame, space: Wo
     return sure.union(exact.where(linked(both, na, nz)).select("a", F.col("z").alias("b")))
 
 
-def join(docs: DataFrame, n: int = N, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _join(docs: DataFrame, n: int = N, rounds: int = 2) -> DataFrame:
+    """doc_id, t0 and t1 (hashes of the text), n_shingles, component_id and label (one number per component) of every row."""
     space = Workspace(docs.sparkSession, grows=True)
     rows = space.store(shared(docs, n), "shared")
-    every = space.store(rows.where("home").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "rep"), "every")
     sets = space.store(_sets(rows), "sets")
+    every = space.store(rows.select("doc_id", "t0", "t1", F.col("n").cast("long").alias("n_shingles"), "rep", "rep_doc"), "every")
     space.drop(rows)
     index = space.store(_index(sets), "index")
     stars = comp = None
@@ -351,11 +418,25 @@ def join(docs: DataFrame, n: int = N, rounds: int = 2) -> DataFrame:
     rest = space.store(rest, "links")
     if not rest.isEmpty():
         comp = components(stars.where("link").select("a", "b").union(rest), space)
-    out = joined(every, comp.select(F.col("doc_id").alias("rep"), "comp"), ["rep"], "left")
-    return space.finish(out.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id")), "components")
+    linked_ = joined(every, comp.select(F.col("doc_id").alias("rep"), "comp"), ["rep"], "left")
+    # Labels are keys of sets; a component is named by its smallest doc_id.
+    low = linked_.where("comp is not null").groupBy("comp").agg(F.min("rep_doc").alias("low"))
+    out = joined(linked_, low, ["comp"], "left").select(
+        "doc_id", "t0", "t1", "n_shingles", F.when(F.col("comp").isNull(), F.col("rep_doc")).otherwise(F.col("low")).alias("component_id"), F.coalesce("comp", "rep").alias("label")
+    )
+    return space.finish(out, "components")
+
+
+def join(docs: DataFrame, n: int = N, rounds: int = 2) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return _join(docs, n, rounds).select("doc_id", "n_shingles", "component_id")
 
 
-def clean(docs: DataFrame, **params) -> DataFrame:
-    """The document with the smallest doc_id of every component, all its columns."""
-    keep = join(docs, **params).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__pagemill_doc")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__pagemill_doc"]), "left_semi")
+def clean(docs: DataFrame, n: int = N, rounds: int = 2) -> DataFrame:
+    """One document of every component, that with its smallest doc_id; all columns."""
+    first = _join(docs, n, rounds).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("doc_id", "t0", "t1")).alias("k"))
+    key = ["__pagemill_id", "__pagemill_t0", "__pagemill_t1"]
+    keep = first.select(*[F.col(f"k.{c}").alias(k) for c, k in zip(("doc_id", "t0", "t1"), key, strict=True)])
+    t0, t1 = digest128(F.coalesce(F.col("text"), F.lit("")))
+    known = docs.select(*[c.alias(k) for c, k in zip((F.col("doc_id").cast("long"), t0, t1), key, strict=True)], *docs.columns)
+    return joined(known, keep, key, "left_semi").select(*docs.columns)

@@ -427,6 +427,30 @@ def test_jaccard_join(spark):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_jaccard_null_and_equal_ids(spark):
+    """Null and equal doc_ids with other texts are sets of their own; one text of each component stays."""
+    rnd = random.Random(15)
+    a, b, c = (prose(rnd, 60) for _ in range(3))
+    near = a.rsplit(" ", 1)[0]
+    rows = [(5, a), (5, b), (5, b), (None, near), (None, c), (None, c + " x"), (None, None), (None, ""), (2, b + " y"), (9, a.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("rep", F.lit(1))
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs.repartition(3)).collect())
+    assert got == sorted([("5", 56, 5), ("5", 56, 2), ("5", 56, 2), ("None", 55, 5), ("None", 56, None), ("None", 57, None), ("None", 0, None), ("None", 0, None), ("2", 57, 2), ("9", 56, 5)])
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.clean(docs).collect()]
+    assert len(kept) == 5 and {(5, a), (2, b + " y"), (None, None), (None, "")} < set(kept) and {t for i, t in kept if i is None and t} < {c, c + " x"}
+
+
+def test_jaccard_shingle_in_every_text(spark):
+    """One passage in all texts, and one group of copies with a third of them: components by brute force."""
+    rnd = random.Random(16)
+    licence, page = prose(rnd, 12), prose(rnd, 80)
+    texts = [f"{licence} {prose(rnd, rnd.randint(30, 60))}" for _ in range(300)] + [page] * 150
+    texts += [" ".join(w if k != j else "edit" for k, w in enumerate(page.split())) for j in range(0, 80, 2)]
+    rnd.shuffle(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(make(spark, texts).repartition(4)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
 def test_rest_without_stars(spark, monkeypatch):
     """Every link found by block skipping and pivots when star rounds see only the first leader."""
     rnd = random.Random(8)
