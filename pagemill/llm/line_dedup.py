@@ -371,3 +371,33 @@ def clean(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
+
+
+#: The same for op6's columns; texts as lists of words, growth by comparing lists.
+ORACLE = r"""
+with w as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') as ws, string_split_regex(coalesce(text, ''), '[^ \t-\r]+') as gaps from documents),
+t as (select doc_id, text, len(ws) as n, list_transform(ws, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as ws, gaps,
+    list_transform(ws, lambda x: length(x)) as wl, list_transform(gaps, lambda x: length(x)) as gl,
+    list_filter(range(1, len(ws) + 1), lambda i: i = len(ws) or contains(gaps[i + 1], chr(10)) or contains('.!?,;:。！？，、；：…', ws[i][-1:])) as cuts from w where len(ws) > 0),
+o as (select *, list_transform(range(0, n), lambda i: list_sum(gl[1:i + 1]) + coalesce(list_sum(wl[1:i]), 0)) as ss from t),
+p as (select doc_id, ws, cuts, unnest(list_concat([0], cuts[1:-2])) as a from t),
+r as (select doc_id, a, list_filter(cuts, lambda c: c >= a + 10)[1] as z, array_to_string(ws[a + 1:list_filter(cuts, lambda c: c >= a + 10)[1]], ' ') as norm from p),
+f as (select *, first_value(doc_id) over v as kd, first_value(a) over v as ka from r where z is not null window v as (partition by norm order by doc_id, a)),
+h as (select doc_id, kd, a - ka as s, a, z, max(z) over (partition by doc_id, kd, a - ka order by a rows between unbounded preceding and 1 preceding) as upto from f where doc_id <> kd or a <> ka),
+i as (select *, sum((upto is null or a > upto)::int) over (partition by doc_id, kd, s order by a) as g from h),
+u as (select doc_id, kd, s, min(a) as a, max(z) as z from i group by doc_id, kd, s, g),
+e as (select u.doc_id, u.kd, u.a, u.z, d.n,
+    least(u.a, u.a - u.s - coalesce(list_max(list_filter(k.cuts, lambda c: c < u.a - u.s)), 0)) as back,
+    least(d.n - u.z, coalesce(list_filter(k.cuts, lambda c: c >= u.z - u.s + 10)[1], k.n) - u.z + u.s) as fore, u.s, d.ws as dw, k.ws as kw
+  from u join t d on d.doc_id = u.doc_id join t k on k.doc_id = u.kd),
+x as (select doc_id, a - coalesce(list_position(list_transform(range(1, back + 1), lambda j: dw[a - j + 1] = kw[a - s - j + 1]), false) - 1, back) as a,
+    z + coalesce(list_position(list_transform(range(1, fore + 1), lambda j: dw[z + j] = kw[z - s + j]), false) - 1, fore) as z from e),
+y as (select *, max(z) over (partition by doc_id order by a, z rows between unbounded preceding and 1 preceding) as upto from x),
+m as (select doc_id, min(a) as a, max(z) as z from (select *, sum((upto is null or a > upto)::int) over (partition by doc_id order by a, z) as g from y) group by doc_id, g),
+c as (select m.doc_id, z - a as words, case when (z = n or contains(gaps[z + 1], chr(10))) and a > 0 then ss[a] + wl[a] else ss[a + 1] end as x,
+    case when (z = n or contains(gaps[z + 1], chr(10))) and a > 0 or z = n then ss[z] + wl[z] else ss[z + 1] end as y from m join o on o.doc_id = m.doc_id),
+b as (select *, greatest(x, coalesce(lag(y) over (partition by doc_id order by x), 0)) as lo, coalesce(lag(y) over (partition by doc_id order by x), 0) as left_end from c),
+g as (select doc_id, sum(words) as words, string_agg(lo || '-' || y, ' ' order by lo) as spans, max(y) as last, list((left_end, lo) order by lo) as kept from b group by doc_id)
+select d.doc_id, case when g.doc_id is null then d.text else array_to_string(list_transform(kept, lambda q: substring(d.text, (q[1] + 1)::int, (q[2] - q[1])::int)), '') || substring(d.text, (last + 1)::int) end as text,
+  coalesce(words, 0)::bigint as removed_words, coalesce(spans, '') as removed_spans from documents d left join g on g.doc_id = d.doc_id
+"""
