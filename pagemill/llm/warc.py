@@ -38,6 +38,7 @@ from .common import joined, stored
 MAGIC = "WARC/1.0\r\n"
 REVISIT_BYTES = 1000
 BROADCAST_REVISITS = 100_000
+STRETCH = 1 << 20
 EOL = "\r\n"
 
 
@@ -214,7 +215,11 @@ def _rejoin(spark: SparkSession, path: str, bases: DataFrame, cut: DataFrame, ke
 
     pieces = chunks(spark, path).mapInArrow(placed, "path string, block long, local long, value string")
     pieces = pieces.join(bases, ["path", "block"]).select("path", (F.col("base") + F.col("local") - len(MAGIC)).alias("at"), "value")
-    near = pieces.join(cut, "path").where("at >= off and at < off + 10 + head + body")
+    # Records meet their pieces by file and stretch of ``STRETCH`` bytes, so a long file is dealt over many tasks.
+    stretch = lambda c: F.floor(c / STRETCH)
+    pieces = pieces.withColumn("stretch", stretch(F.col("at")))
+    cut = cut.withColumn("stretch", F.explode(F.sequence(stretch(F.col("off")), stretch(F.col("off") + len(MAGIC) + F.col("head") + F.col("body")))))
+    near = pieces.join(cut, ["path", "stretch"]).where(F.col("at") < F.col("off") + len(MAGIC) + F.col("head") + F.col("body")).where("at >= off")
 
     def join(t: pa.Table) -> pa.Table:
         t = t.sort_by("at")
