@@ -411,9 +411,10 @@ def _join(docs: DataFrame, n: int = N, rounds: int = 2) -> DataFrame:
         stars = found if stars is None else stars.union(found)
         comp = components(stars.where("link"), space)
     groups = _pivots(stars, sets).join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    groups = groups.join(sets.select(F.col("doc_id").alias("pivot"), F.size("fps").alias("m_pivot")), "pivot")
-    groups = groups.join(comp.select(F.col("doc_id").alias("pivot"), F.col("comp").alias("comp_pivot")), "pivot", "left")
-    groups = space.store(groups.withColumn("comp_pivot", F.coalesce("comp_pivot", "pivot")), "groups")
+    # What is asked of a pivot is put together first, so that the one join with its many members can be split.
+    asked = sets.select(F.col("doc_id").alias("pivot"), F.size("fps").alias("m_pivot")).join(comp.select(F.col("doc_id").alias("pivot"), F.col("comp").alias("comp_pivot")), "pivot", "left")
+    asked = space.store(asked.withColumn("comp_pivot", F.coalesce("comp_pivot", "pivot")), "asked")
+    groups = space.store(groups.join(asked, "pivot"), "groups")
     rest = _within(groups).union(_from_pivots(_across(index, groups, space), groups, sets, space))
     rest = space.store(rest, "links")
     if not rest.isEmpty():
