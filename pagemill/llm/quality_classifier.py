@@ -12,8 +12,12 @@ Texts are read once: features of every row are written to the shared folder, the
 driver trains on at most ``SAMPLE`` labelled rows (those with the smallest hashes
 of doc_id; a documented bound, a few MB), and the tables, some KB, score all rows.
 
+Features are rates of the text alone: lengths, shares of kinds of characters, how
+varied words, pairs of words and lines are, how well the text compresses.
+
 Defined results: null and empty texts have all features 0 and are scored like any
-row; null labels are not used; a document without label is scored; a label
+row; very long texts are read whole; an empty table gives none; rows with a null or
+repeated doc_id are scored each; null labels are not used; a document without label is scored; a label
 repeated for a document counts each time; without labels of both kinds every
 score is the labels' mean (0.5 without labels); extra columns are ignored.
 """
@@ -21,6 +25,7 @@ score is the labels' mean (0.5 without labels); extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -39,9 +44,12 @@ ROUNDS, PAIR_ROUNDS, RATE, LEAST_LEAF = 120, 60, 0.15, 10
 FEATURES = [
     "log_chars", "log_words", "word_len", "symbols", "bars", "upper", "bangs", "digits", "stops", "non_ascii",
     "distinct_words", "short_words", "line_words", "dup_lines", "packed", "marked_words", "at_signs", "top_line",
+    "punctuation", "byte_kinds", "top_word", "repeated_pairs", "long_words", "sentence_words",
 ]
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _HIGH = bytes(range(128, 256))
+_PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_ENDS = (b".", b"!", b"?", "。".encode())
 
 
 def features(text: str | None) -> list[float]:
@@ -54,9 +62,13 @@ def features(text: str | None) -> list[float]:
     share = lambda chars: (n - len(b.translate(None, chars))) / n
     lines = [x for x in b.split(b"\n") if x.strip()]
     marked = sum(1 for w in ws if w[-1] in b"#*$%&|<>!")
+    kinds = Counter(ws)
+    most = max(kinds.values())
+    pairs = list(zip(ws, ws[1:], strict=False))
     return [
         np.log1p(n), np.log1p(k), (n - b.count(b" ")) / k, share(b"#*$%&<>"), share(b"|"), share(_UPPER), share(b"!"), share(_DIGIT), b.count(b".") / k, share(_HIGH),
-        len(set(ws)) / k, sum(map((4).__gt__, map(len, ws))) / k, k / len(lines), 1 - len(set(lines)) / len(lines), len(zlib.compress(b, 1)) / n, marked / k, share(b"@"), max(map(len, lines)) / n,
+        len(kinds) / k, sum(map((4).__gt__, map(len, ws))) / k, k / len(lines), 1 - len(set(lines)) / len(lines), len(zlib.compress(b, 1)) / n, marked / k, share(b"@"), max(map(len, lines)) / n,
+        share(_PUNCT), len(set(b)) / 256, most / k, 1 - len(set(pairs)) / len(pairs) if pairs else 0.0, sum(map((12).__lt__, map(len, ws))) / k, k / (1 + sum(b.count(e) for e in _ENDS)),
     ]
 
 

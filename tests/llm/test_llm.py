@@ -745,6 +745,62 @@ def test_trees_find_an_interaction():
     assert (0, 1) in m.pairs and ((m.score(x) > 0.5) == y).mean() > 0.93
 
 
+def naive_additive(x, y, rounds):
+    """Cyclic boosting by its definition, every leaf summed from rows; scores of the rows."""
+    q = quality_classifier
+    rate = (sum(y) + 0.5) / (len(y) + 1)
+    raw = [math.log(rate / (1 - rate))] * len(y)
+    cut = lambda c, bins: sorted(set(np.quantile(c, np.arange(1, bins) / bins).tolist()))
+    place = lambda edges, v: sum(e <= v for e in edges)
+    cols = list(range(len(x[0])))
+    edges = [cut([r[f] for r in x], q.BINS) for f in cols]
+    at = [[place(edges[f], r[f]) for r in x] for f in cols]
+    prob = lambda: [1 / (1 + np.exp(-v)) for v in raw]
+
+    def gain(rows, p):
+        g, h = sum(y[i] - p[i] for i in rows), sum(p[i] * (1 - p[i]) for i in rows)
+        return g * g / (h + 1), g / (h + 1)
+
+    def best(rows, where, p):
+        """The best cut of some rows by their bins: gain over the whole, first bin of the right side."""
+        whole, found = gain(rows, p)[0], (0.0, None)
+        low, high = min(where), max(where)
+        for c in range(low + 1, high + 1):
+            left, right = [i for i in rows if where[i] < c], [i for i in rows if where[i] >= c]
+            if min(len(left), len(right)) >= q.LEAST_LEAF:
+                d = gain(left, p)[0] + gain(right, p)[0] - whole
+                if d > found[0] + 1e-9:
+                    found = (d, c)
+        return found
+
+    for _ in range(rounds):
+        for f in cols:
+            p, leaves = prob(), [list(range(len(y)))]
+            for _ in range(3):
+                d, c, k = max(((*best(rows, at[f], p), k) for k, rows in enumerate(leaves)), key=lambda t: (t[0], t[2]))
+                if not c:
+                    break
+                rows = leaves[k]
+                leaves[k : k + 1] = [[i for i in rows if at[f][i] < c], [i for i in rows if at[f][i] >= c]]
+            for rows in leaves:
+                step = gain(rows, p)[1] if rows else 0
+                for i in rows:
+                    raw[i] += q.RATE * step
+    return raw
+
+
+def test_tables_against_naive_boosting(monkeypatch):
+    """Per-feature tables of a small fit equal boosting that sums every leaf from its rows."""
+    monkeypatch.setattr(quality_classifier, "ROUNDS", 4)
+    monkeypatch.setattr(quality_classifier, "PAIRS", 0)
+    monkeypatch.setattr(quality_classifier, "BINS", 8)
+    rng = np.random.default_rng(4)
+    x = rng.random((120, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.2 * rng.random(120) > 0.8).astype(float)
+    m = quality_classifier.train(x, y)
+    assert not m.pairs and np.allclose(m.raw(x), naive_additive(x.tolist(), y.tolist(), 4), atol=1e-9)
+
+
 def test_classifier_with_one_kind_of_label(spark):
     docs = make(spark, ["a b", "", None, "c"])
     assert quality_classifier.classify(docs, spark.createDataFrame([(0, 1), (3, None)], "doc_id long, label int")).where("score > 0.5").count() == 4
