@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns documents with the columns of
 ``documents`` (the last one: what encoding gives), is written as Parquet to the
 folder that all executors share, and read again as the next one's input.
+
+Defined results: null, empty, blank and short texts go in the first stage; rows are
+told apart by doc_id and text, so rows with equal or null doc_id and other texts are
+documents of their own, and equal rows stay or go together; very long texts are
+processed whole; an empty table gives none; further columns of documents are carried
+to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier document has."""
+    """All documents, without passages that an earlier document has."""
     return line_dedup.clean(docs)
 
 
