@@ -1,4 +1,7 @@
-"""Expressions and helpers shared by the training-data operators."""
+"""Expressions and helpers shared by the training-data operators.
+
+Column names that begin with ``__pagemill_`` are reserved; all others may be in callers' tables.
+"""
 
 from __future__ import annotations
 
@@ -61,11 +64,11 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
     right side that ``grows`` with the corpus is never broadcast (packed ids look
     small in Parquet and are not in memory); others by Spark's own size check.
     """
-    renamed = right.select(*[F.col(c).alias(f"__r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    renamed = right.select(*[F.col(c).alias(f"__pagemill_r_{c}") for c in on], *[c for c in right.columns if c not in on])
     cond = F.lit(True)
     for c in on:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-    return left.join(renamed.hint("merge") if grows else renamed, cond, how).drop(*[f"__r_{c}" for c in on])
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__pagemill_r_{c}"))
+    return left.join(renamed.hint("merge") if grows else renamed, cond, how).drop(*[f"__pagemill_r_{c}" for c in on])
 
 
 def scratch_dir(spark: SparkSession) -> str:

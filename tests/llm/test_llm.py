@@ -875,3 +875,31 @@ def test_pipeline(spark, sf):
     out = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf).collect()}
     assert out == {i: len(enc.encode_ordinary(t)) for i, t in text.items() if i not in bad}
     assert 0.5 * len(docs) < len(out) < len(docs)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, equal ids, clashing columns: one row per kept document."""
+    rnd = random.Random(17)
+    good = [prose(rnd, 60) for _ in range(6)]
+    long, item = "\n".join(prose(rnd, 40) for _ in range(300)), prose(rnd, 30)
+    rows = [
+        (1, None), (2, ""), (3, " \n"), (4, good[0]), (5, good[0].upper()), (None, good[1]), (None, good[2]), (None, None), (6, good[3]), (6, good[4]), (7, long), (8, f"{good[5]}\n{item}"), (9, "too short"), (10, good[5]), (10, good[5]),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", None if t is None else "s", None) for i, t in rows], SCHEMA)
+    for c in ("key", "row", "label", "kept", "blob", "cut", "__r_doc_id"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], BENCH).write.parquet(str(tmp_path / "benchmark.parquet"))
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_bpe.load_ranks(queries.tokenizer("byte_bpe_50k.tiktoken")), special_tokens={})
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    # Document 8 holds the passage first, so 10 and its copy lose theirs; then 8 goes for its benchmark item.
+    want = [(4, good[0]), (None, good[1]), (None, good[2]), (6, good[3]), (6, good[4]), (7, long), (10, ""), (10, "")]
+    assert got == sorted((str(i), len(enc.encode_ordinary(t))) for i, t in want)
+
+
+def test_pipeline_on_empty_tables(spark, empty, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], BENCH).write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
