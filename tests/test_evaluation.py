@@ -268,6 +268,13 @@ def test_more_readers(spark, tmp_path):
     assert name(readers.pdf_listing(spark, str(tmp_path / "in"), recursive=True)) == ["b.pdf", "e.pdf"]
 
 
+def test_manifest_is_written_by_file(spark, tmp_path):
+    docs = spark.createDataFrame([("f", 1, 3, 1, 1005, "Plan", False), ("g", 1, 1, 1, 7, "a/b", True)], "file string, start int, end int, ordinal int, code int, name string, flagged boolean")
+    sinks.write_manifest(docs, str(tmp_path / "m"))
+    back = {r["file"]: (r["out_name"], r["pages"]) for r in spark.read.parquet(str(tmp_path / "m")).collect()}
+    assert back == {"f": ("f_001_01005_Plan.pdf", "pages 1–3"), "g": ("g_001_00007_a-b_REVIEW.pdf", "page 1")}
+
+
 def test_review_and_stacks(spark):
     c = spark.createDataFrame([("a", 2, True, True), ("a", 3, False, True), ("a", 4, True, False), ("a", 5, True, False), ("a", 6, False, True)], "file string, page int, in_truth boolean, in_pred boolean")
     r = E.reviewed(c, spark.createDataFrame([("a", 3)], "file string, page int"), spark.createDataFrame([("a", 4)], "file string, page int")).first()
