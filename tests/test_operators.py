@@ -105,7 +105,15 @@ def test_titles_of_all_parts(spark, tmp_path):
         got.setdefault(r["title"], []).append(r["name"])
     assert got == want
     assert {r["title"]: r["name"] for r in Q.title_best_match(spark, str(tmp_path)).collect()} == {t: n[0] for t, n in want.items()}
-    assert {r["title"] for r in Q.title_best_match_full(spark, str(tmp_path)).collect()} == noisy
+
+    def ratio(title, name):
+        words = lambda x: " ".join(sorted({w.translate(str.maketrans(T.TITLE_LATIN, T.TITLE_CYRILLIC)) for w in x.split() if not set("0123456789№#") & set(w)}))
+        return difflib.SequenceMatcher(None, words(title), words(name)).ratio()
+
+    best = {t: max(kinds, key=lambda x: (*rank(t, *x)[:3], ratio(t, x[1]), -x[0]))[1] for t in noisy}
+    full_rows = Q.title_best_match_full(spark, str(tmp_path)).collect()
+    assert {r["title"]: r["name"] for r in full_rows} == best
+    assert all(r["token_set"] == round(ratio(r["title"], r["name"]), 4) for r in full_rows)
 
 
 def test_identifiers_of_whole_texts(spark, tmp_path):
