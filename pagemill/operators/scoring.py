@@ -40,11 +40,18 @@ def drop_masked(df: DataFrame, masks: DataFrame) -> DataFrame:
     return df.join(m, (df["file"] == m["__f"]) & df["page"].between(m["lo"], m["hi"]), "left_anti")
 
 
-def by_stratum(compared: DataFrame, strata: DataFrame, total: str = "ALL") -> DataFrame:
-    """tp, fp, fn, precision, recall, f1 per stratum and over all; files without one are ``?``."""
+def by_stratum(compared: DataFrame, strata: DataFrame, total: str = "ALL", known: tuple[str, ...] = ()) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1 per stratum and over all; files without one are ``?``.
+
+    Strata of ``known`` have a row even if no file has them, and so has the total then.
+    """
     s = compared.join(strata, "file", "left").withColumn("stratum", F.coalesce("stratum", F.lit("?")))
     r = s.rollup("stratum").agg(*counts(), F.grouping_id().alias("g"))
-    return prf(r.withColumn("stratum", F.when(F.col("g") == 1, total).otherwise(F.col("stratum"))).drop("g"))
+    r = r.withColumn("stratum", F.when(F.col("g") == 1, total).otherwise(F.col("stratum"))).drop("g")
+    if known:
+        every = compared.sparkSession.createDataFrame([(x,) for x in (*known, total)], "stratum string")
+        r = r.join(every, "stratum", "full").na.fill(0, ["tp", "fp", "fn"])
+    return prf(r)
 
 
 def intervals(starts: DataFrame, totals: DataFrame) -> DataFrame:

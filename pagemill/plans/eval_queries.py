@@ -10,7 +10,7 @@ from ..operators import evaluation as E
 from ..operators import matching as M
 from ..operators import scoring as S
 from ..sources import sinks
-from .queries import MATCH_SQL, MATCH_OUT, PIECES_SQL, PRF, TP, _nomenclature, _pieces, _titles, query, table, totals, truth_pred, turns
+from .queries import CNT, MATCH_OUT, MATCH_SQL, PIECES_SQL, PRF, TP, _nomenclature, _pieces, _titles, query, table, totals, truth_pred, turns
 
 LISTING = "select '/root/tests/p' || cast(page_id % 9 as string) || case page_id % 9 % 3 when 0 then '' else '/c' || cast(page_id % 4 as string) end || case page_id % 5 when 0 then '/image_' when 1 then '/Image_' when 2 then '/IMAGE_' when 3 then '/scan_' else '/x/Image_' end || cast(page_id as string) || case page_id % 7 when 0 then '.PDF' when 1 then '.txt' else '.pdf' end as path from pages"
 
@@ -162,3 +162,14 @@ def fp_stack_signals(spark, sf):
     """O-D2: false positives by signal, and those in runs of consecutive pages."""
     c = S.compare(*truth_pred(spark, sf)).where("(in_pred and not in_truth and page <> 1) or page % 3 = 1")
     return E.stacks(c.join(turns(spark, sf).select("file", "page", F.col("role").alias("signal")), ["file", "page"]).select("file", "page", "signal"))
+
+
+@query(f"""with {TP}, x as (select *, case file % 4 when 0 then 'dev' when 1 then 'fresh' else '?' end as stratum from cmp where page <> 1),
+  r as (select case when grouping(stratum) = 1 then 'ALL' else stratum end as stratum, {CNT} from x group by rollup(stratum)),
+  a as (select coalesce(r.stratum, n.s) as stratum, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(fn, 0) as fn from r full join (values ('dev'), ('holdout'), ('fresh'), ('ALL')) n(s) on n.s = r.stratum)
+  select stratum, tp, fp, fn, {PRF} from a""")
+def prf_all_strata(spark, sf):
+    """O-A3: every stratum has a row, also one without files."""
+    c = S.compare(*truth_pred(spark, sf)).where("page <> 1")
+    strata = totals(spark, sf).where("file % 4 < 2").select("file", F.when(F.col("file") % 4 == 0, "dev").otherwise("fresh").alias("stratum"))
+    return S.by_stratum(c, strata, known=("dev", "holdout", "fresh"))

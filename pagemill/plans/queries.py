@@ -591,16 +591,6 @@ def prompt_cache_join(spark, sf):
     return done.select("doc_id", "key", F.lit(False).alias("pending")).union(todo.select("doc_id", "key", F.lit(True)))
 
 
-KIND_SQL = """case when regexp_matches(lower(text), 'license') then 'license' when regexp_matches(text, '\\|') then 'table' when regexp_matches(text, '[#*$%&]{3}') then 'junk' else 'prose' end"""
-
-
-@query(f"select doc_id, {KIND_SQL} as kind, try_cast(regexp_extract(text, '(\\d+)', 1) as bigint) as number from documents")
-def prompt_kind(spark, sf):
-    """O-F28: the first pattern that fits."""
-    kind = F.when(F.lower("text").rlike("license"), "license").when(F.col("text").rlike("\\|"), "table").when(F.col("text").rlike("[#*$%&]{3}"), "junk").otherwise("prose")
-    return table(spark, sf, "documents").select("doc_id", kind.alias("kind"), F.regexp_extract("text", "(\\d+)", 1).try_cast("bigint").alias("number"))
-
-
 @query(f"""with {TP}, c as (select * from cmp where page <> 1), near as (select file, page + d as page, max(in_pred::int) as hit from c, (values (-1), (1)) v(d) where in_truth group by all)
   select c.file, c.page, case when hit = 1 then 'double_fire' when hit = 0 then 'localization' else 'isolated' end as kind from c left join near on near.file = c.file and near.page = c.page where in_pred and not in_truth""")
 def fp_adjacency(spark, sf):
