@@ -201,7 +201,7 @@ def test_hpylm_law_sums_to_one(shards, rounds):
             cu1, cu2 = np.r_[cu1, cu1[:1]], np.r_[cu2, np.uint64(777)]
         every = np.r_[words, unseen]
         xs = [np.repeat(cu1, len(every)), np.repeat(cu2, len(every)), np.tile(every, len(cu1))]
-        leaf = hpylm.Leaf(np.r_[tok.w, xs[2]], np.r_[tok.u1, xs[0]], np.r_[tok.u2, xs[1]], np.r_[train, np.zeros(len(xs[0]), bool)])
+        leaf = hpylm.Leaf([np.r_[tok.w, xs[2]], np.r_[tok.u1, xs[0]], np.r_[tok.u2, xs[1]]], np.r_[train, np.zeros(len(xs[0]), bool)])
         totals = hpylm.listen(p, leaf.words, np.zeros(len(leaf.words), bool), [v for v in heard[shard]["blob"].to_pylist() if hpylm.blobs.unpack(v)[0][0] < 0])[0]
         replies = np.zeros((6, len(leaf.words)))
         for u in uppers:
