@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, ascii_lower, digest128, let, joined, stored, window_hashes, words
+from .common import SPACE_RE, ascii_lower, digest128, let, joined, window_hashes, words
 
 MIN_WORDS, REPEAT_SHARE, MAX_DOCS, MAX_LOSS = 10, 20, 30, 50
 HAS_WORD = "[^ \\t-\\r]"
@@ -100,8 +100,7 @@ def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """Lines to remove of ``keyed`` documents: ``KEY``, line number (0-based, among \\n-split lines) and its words."""
     lines = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(HAS_WORD)).select(*KEY, "line_no", words(ascii_lower(F.col("line"))).alias("ws"))
     k1, k2 = digest128(F.array_join("ws", " "))
-    # Lines are cut and hashed once; their counts and the lines themselves are read from the digests.
-    lines = stored(lines.select(*KEY, "line_no", F.size("ws").cast("long").alias("line_words"), k1.alias("k1"), k2.alias("k2")), "lines")
+    lines = lines.select(*KEY, "line_no", F.size("ws").cast("long").alias("line_words"), k1.alias("k1"), k2.alias("k2"))
     line, least = [KEY[1], "k1", "k2"], F.coalesce(F.col(KEY[0]).cast("long"), F.lit(-(1 << 63)))
     over = (
         lines.groupBy(*line, KEY[2], KEY[3])
@@ -110,7 +109,8 @@ def boilerplate(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first_doc"))
         .where(F.col("n_docs") > max_docs)
     )
-    hit = joined(lines, over, line)
+    # Lines above the limit are few; within Spark's size check they are sent to the lines, else both are shuffled.
+    hit = joined(lines, over, line, grows=False)
     return hit.where(least != F.col("first_doc")).select(*KEY, "line_no", "line_words")
 
 
