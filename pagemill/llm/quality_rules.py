@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, ascii_lower, digest128, let, joined, window_hashes, words
+from .common import ascii_lower, digest128, let, joined, window_hashes, words
 
 MIN_WORDS, REPEAT_SHARE, MAX_DOCS, MAX_LOSS = 10, 20, 30, 50
 HAS_WORD = "[^ \\t-\\r]"
