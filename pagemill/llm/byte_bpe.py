@@ -17,6 +17,10 @@ Words are cut at blanks and line feeds where the pattern is ``SPACED`` and the t
 has no other white space; any other text is cut by the pattern itself, and its
 pieces are the words.
 
+Blocks are told by task and number.  Should a lost executor's task run again on rows in
+another order (input that comes out of a shuffle, not out of files), its answers no
+longer fit and the job fails with that message; nothing wrong is returned.
+
 Defined results: null and empty texts encode to no identifiers (the digests are
 those of zero bytes); repeated rows and null doc_ids each get a row; very long texts
 are encoded whole, in a block of their own size; an empty table gives none; extra
@@ -33,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,17 +188,21 @@ def cut(text: str, find, spaced: bool) -> list:
     return words
 
 
-def _pack_words(uid: int, keys: list, bits: int) -> Iterator[tuple[int, bytes]]:
-    """A block's distinct words by bucket: who asks, places in the block's list, kinds, lengths and bytes."""
+def _mark(raw: list[bytes]) -> np.ndarray:
+    """What a block's list of words is known by: a task that runs again on rows in another order makes another list."""
+    return np.array([xxhash.xxh3_64_intdigest(b"\0".join(raw)) & (2**63 - 1)], np.int64)
+
+
+def _pack_words(uid: int, keys: list, bits: int, raw: list[bytes], mark: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A block's distinct words by bucket: who asks and its mark, places in the block's list, kinds, lengths and bytes."""
     kind = np.array([AFTER_BLANK if isinstance(k, str) else AS_IS if len(k) == 1 else PIECE for k in keys], np.uint8)
-    raw = [(k if isinstance(k, str) else k[0]).encode("utf-8", "surrogatepass") for k in keys]
     bucket = (blobs.mix(blobs.hash_words(raw) + kind) >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     at = np.r_[np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)]
     for x, y in zip(at, at[1:], strict=False):
         mine = order[x:y]
         values = [raw[i] for i in mine.tolist()]
-        yield int(bucket[mine[0]]), blobs.pack(np.array([uid], np.int64), mine.astype(np.uint32), kind[mine], np.array([len(v) for v in values], np.uint32), np.frombuffer(b"".join(values), np.uint8), rising=(1,))
+        yield int(bucket[mine[0]]), blobs.pack(np.r_[np.int64(uid), mark], mine.astype(np.uint32), kind[mine], np.array([len(v) for v in values], np.uint32), np.frombuffer(b"".join(values), np.uint8), rising=(1,))
 
 
 def _blocks(bits: int, pattern: str):
@@ -211,8 +220,11 @@ def _blocks(bits: int, pattern: str):
         def flush() -> pa.RecordBatch:
             known = np.array([0 if i is None else i for i in ids], np.int64)
             none = np.array([i is None for i in ids], np.uint8)
-            rows = [(-1 - uid, blobs.pack(known, none, np.array(sizes, np.uint32), np.concatenate(places) if places else np.empty(0, np.uint32)))]
-            rows += _pack_words(uid, list(words), bits)
+            keys = list(words)
+            raw = [(k if isinstance(k, str) else k[0]).encode("utf-8", "surrogatepass") for k in keys]
+            mark = _mark(raw)
+            rows = [(-1 - uid, blobs.pack(np.r_[mark, np.int64(len(keys))], known, none, np.array(sizes, np.uint32), np.concatenate(places) if places else np.empty(0, np.uint32)))]
+            rows += _pack_words(uid, keys, bits, raw, mark)
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.binary())], ["key", "blob"])
 
         for b in batches:
@@ -248,7 +260,7 @@ def _replay(path: str, ranks, pattern: str):
             uid, place, kind, size, raw = blobs.unpack(v)
             ends, raw = np.cumsum(size.astype(np.int64)).tolist(), raw.tobytes()
             keys = [(k, raw[x:y]) for k, x, y in zip(kind.tolist(), [0, *ends], ends, strict=False)]
-            asked.append((int(uid[0]), place, keys))
+            asked.append((uid, place, keys))
             words.update(dict.fromkeys(keys))
         pieces: dict[bytes, bytes] = {}
         cuts = {}
@@ -272,8 +284,8 @@ def _replay(path: str, ranks, pattern: str):
         uids, values = [], []
         for uid, place, keys in asked:
             ids = [words[k] for k in keys]
-            uids.append(-1 - uid)
-            values.append(blobs.pack(place, np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4"), rising=(0,)))
+            uids.append(-1 - int(uid[0]))
+            values.append(blobs.pack(uid[1:], place, np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4"), rising=(1,)))
         return pa.Table.from_arrays([pa.array(uids, pa.int64()), pa.array(values, pa.binary())], ["key", "blob"])
 
     return run
@@ -285,13 +297,19 @@ def _assemble(path: str, ranks, keep_ids: bool):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         vocabulary = _vocabulary(path, ranks)
         none, doc_id, n_words, words = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint32)
+        known = np.zeros(2, np.int64)
         if len(block) and block["key"][0].as_py() < 0:
-            doc_id, none, n_words, words = blobs.unpack(block["blob"][0].as_py())
+            known, doc_id, none, n_words, words = blobs.unpack(block["blob"][0].as_py())
         place, size, flat = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
         for v in answers["blob"].to_pylist():
-            for into, x in zip((place, size, flat), blobs.unpack(v), strict=True):
+            mark, *cols = blobs.unpack(v)
+            if mark[0] != known[0]:
+                raise RuntimeError("a block was made anew from rows in another order; store the input before encoding it")
+            for into, x in zip((place, size, flat), cols, strict=True):
                 into.append(x)
         place, size, flat = np.concatenate(place), np.concatenate(size).astype(np.int64), np.concatenate(flat)
+        if len(place) != known[1]:
+            raise RuntimeError("words of a block were not answered; store the input before encoding it")
         start = np.cumsum(size) - size
         length, at = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         length[place], at[place] = size, start
