@@ -6,6 +6,7 @@ Column names that begin with ``__pagemill_`` are reserved; all others may be in
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -95,6 +96,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver forget what is done: Spark then deletes shuffle files that no table refers to, and unloads compiled plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
@@ -150,6 +157,7 @@ class Workspace:
             drop_path(self.spark, path)
         self.paths.clear()
         self.tables.clear()
+        tidy(self.spark)
         return done
 
 

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import Workspace, digest128, joined
+from .common import Workspace, digest128, joined, tidy
 
 N = 5
 BLOCK_BYTES, BUCKET_BYTES, LEAST = 8_000_000, 32_000_000, 64
@@ -286,15 +286,16 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
     Labels sink along edges and jump to their label's label until none changes.
     """
     both = space.store(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc_id"), F.least("a", "m").alias("comp"))
-    done = space.store(labels, "labels")
+    done, before = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc_id"), F.least("a", "m").alias("comp")), None
     while True:
         labels = done.select("doc_id", "comp")
         near = joined(both, labels.select(F.col("doc_id").alias("b"), "comp"), ["b"]).groupBy(F.col("a").alias("doc_id")).agg(F.min("comp").alias("low"))
         sunk = labels.join(near, "doc_id").select("doc_id", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
         jump = joined(sunk, labels.select(F.col("doc_id").alias("comp"), F.col("comp").alias("up")), ["comp"])
-        before, done = done, space.store(jump.select("doc_id", "old", F.least("comp", "up").alias("comp")), "labels")
-        space.drop(before)
+        done = space.store(jump.select("doc_id", "old", F.least("comp", "up").alias("comp")), "labels")
+        if before is not None:
+            space.drop(before)
+        before = done
         if done.where("old <> comp").isEmpty():
             space.drop(both)
             return done.select("doc_id", "comp")
@@ -401,10 +402,10 @@ def _join(docs: DataFrame, n: int = N, rounds: int = 2) -> DataFrame:
     """doc_id, t0 and t1 (hashes of the text), n_shingles, component_id and label (one number per component) of every row."""
     space = Workspace(docs.sparkSession, grows=True)
     rows = space.store(shared(docs, n), "shared")
-    sets = space.store(_sets(rows), "sets")
-    every = space.store(rows.select("doc_id", "t0", "t1", F.col("n").cast("long").alias("n_shingles"), "rep", "rep_doc"), "every")
-    space.drop(rows)
+    sets = _sets(rows)
+    every = rows.select("doc_id", "t0", "t1", F.col("n").cast("long").alias("n_shingles"), "rep", "rep_doc")
     index = space.store(_index(sets), "index")
+    tidy(space.spark)
     stars = comp = None
     for _ in range(rounds):
         found = space.store(_star_round(index, sets, comp), "stars")
