@@ -17,7 +17,9 @@ def _order(section: str, seq: list[str]):
 
 def next_marker(value: Column, section: str, seq: list[str]) -> Column:
     """The first non-null value from this line on (markers close their section)."""
-    return F.first(value, ignorenulls=True).over(_order(section, seq).rowsBetween(0, Window.unboundedFollowing))
+    # Backwards: a frame that runs to the end would be read anew for every row.
+    back = Window.partitionBy(section).orderBy(*[F.desc(c) for c in seq])
+    return F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def previous_marker(value: Column, section: str, seq: list[str]) -> Column:
