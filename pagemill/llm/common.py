@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space of every contract: space and U+0009..U+000D, nothing else.
 SPACE = " \t\n\x0b\x0c\r"
@@ -22,6 +23,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _made: list[tuple[SparkSession, str]] = []
 
 
+def crc32_sql(value: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a number's decimal text: one step for each character and bit."""
+    steps = f"flatten(list_transform(string_split(cast({value} as varchar), ''), lambda ch: [ascii(ch)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(4294967295::bigint, list_reduce({steps}, lambda acc, x: case when x >= 0 then xor(acc, x) else xor(acc >> 1, 3988292384 * (acc & 1)) end, 4294967295::bigint))"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once.
 
@@ -161,5 +168,23 @@ class Workspace:
         return done
 
 
+def numbered(space: Workspace, df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``idx``, a row's place from 0 among those with equal ``keys`` by ``order`` (nulls first), and ``n``, how many those are.
+
+    Rows are dealt by ranges of (keys, order) and counted within each, so a key with
+    a third of all rows is numbered by many tasks; a window sees one row per key and range.
+    ``df`` should be stored: ranges are sampled first.
+    """
+    at, part, first, offset = (f"__pagemill_{x}" for x in ("at", "part", "first", "offset"))
+    by = [F.asc_nulls_first(c) for c in (*keys, *order)]
+    dealt = space.store(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id()), name)
+    dealt = dealt.withColumn(part, F.shiftright(at, 33))
+    size = dealt.groupBy(*keys, part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys)
+    before = F.sum("n").over(w.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    size = size.select(*keys, part, first, F.coalesce(before, F.lit(0)).alias(offset), F.sum("n").over(w).alias("n"))
+    return joined(dealt, size, [*keys, part], grows=False).withColumn("idx", F.col(at) - F.col(first) + F.col(offset)).drop(at, part, first, offset)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, hpylm, jaccard_join, line_dedup, quality_classifier, quality_rules, token_counts, url_filter, warc
-from .common import read, scratch
+from . import byte_bpe, conversation_trie, decontaminate, hpylm, jaccard_join, line_dedup, merkle, quality_classifier, quality_rules, sharding, token_counts, url_filter, warc
+from .common import read, scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    convs = stored(conversation_trie.sequences(read(spark, sf_dir, "conversations")), "conversations")
+    return conversation_trie.trie(conversation_trie.rebuilt(convs))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents; every fifth one is verified with its text lower-cased."""
+    proofs = merkle.verify(merkle.prove(read(spark, sf_dir, "documents"), merkle.lowered()))
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes; ``slot`` is the place in the shard."""
+    out = sharding.shard(read(spark, sf_dir, "documents"), 40)
+    none = F.lit(None).cast("int")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none.alias("grown_shard"), "virtual_slot", "map_version")
+
+
 QUERIES: dict[str, Query] = {
     "op1_hpylm": op1_hpylm,
     "op2_decontamination": op2_decontamination,
@@ -85,6 +104,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +115,5 @@ ORACLES: dict[str, str] = {
     "op5_url_filter": url_filter.ORACLE,
     "op7_warc": warc.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
