@@ -1,4 +1,4 @@
 """Registered queries."""
 
 from . import queries  # noqa: F401
-from . import eval_queries, log_queries  # noqa: F401  isort: skip
+from . import eval_queries, live_queries, log_queries  # noqa: F401  isort: skip

@@ -7,7 +7,7 @@ one running window; starts found by other pages are one join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,16 +42,22 @@ def _title_gate(d: DataFrame) -> DataFrame:
     )
 
 
-def decide(verdicts: DataFrame) -> DataFrame:
-    """Per row: final is_end, entered (an end was recorded), effective_end, new_start, conf."""
+def before_chain(verdicts: DataFrame) -> DataFrame:
+    """What a page's own answers say of its end, before the appendix chain is looked at; ``chain``: 1 where it begins one, 0 where it ends one."""
     c, end = F.col, F.col("is_end")
-    appendix = F.contains(c("signal"), F.lit("appendix"))
     d = verdicts.withColumn("effective_end", F.when(end & c("signal").isin(V.START_SIGNALS), c("signal_page") - 1).when(end, c("signal_page")).otherwise(c("n")))
     d = _title_gate(d)
     own = end & c("signal").isin(V.END_SIGNALS) & (c("signal_page") == c("n") + 1) & c("self_contained_next")
     d = d.withColumn("effective_end", F.when(own, c("n")).otherwise(c("effective_end")))
     d = d.withColumn("conf", F.when(c("signal").isin(V.CAPPED_SIGNALS), F.least("conf", F.lit(V.CAP))).otherwise(c("conf")))
-    d = d.withColumn("active", active_before(end & appendix & ~c("standalone"), end & ~appendix, "file", ["n"]))
+    appendix = F.contains(c("signal"), F.lit("appendix"))
+    return d.withColumn("chain", F.when(end & appendix & ~c("standalone"), 1).when(end & ~appendix, 0))
+
+
+def after_chain(d: DataFrame) -> DataFrame:
+    """The rest of a page's steps, given whether a chain is ``active`` before it."""
+    c, end = F.col, F.col("is_end")
+    appendix = F.contains(c("signal"), F.lit("appendix"))
     d = d.withColumn("is_end", F.when(end & appendix, F.when(c("active"), (c("n") > 1) & c("starts_new")).otherwise(c("standalone"))).otherwise(end))
     sign = end & c("signal").isin(V.SIGNOFF_SIGNALS) & (c("effective_end") == c("n"))
     d = d.withColumn("__s", sign).withColumn("is_end", end & (~c("__s") | c("next_starts")))
@@ -62,7 +68,14 @@ def decide(verdicts: DataFrame) -> DataFrame:
     d = d.withColumn("entered", end).withColumn("__s", out)
     d = d.withColumn("new_start", F.when(c("__s") & c("self_contained_next"), c("n") + 1).otherwise(c("effective_end") + 1))
     d = d.withColumn("effective_end", F.when(c("__s") & c("self_contained_next"), c("n")).when(c("__s"), F.least("effective_end", "total_pages")).otherwise(c("effective_end")))
-    return d.withColumn("is_end", end & (~c("__s") | c("self_contained_next"))).drop("__s", "active")
+    return d.withColumn("is_end", end & (~c("__s") | c("self_contained_next"))).drop("__s")
+
+
+def decide(verdicts: DataFrame) -> DataFrame:
+    """Per row: final is_end, entered (an end was recorded), effective_end, new_start, conf."""
+    d = before_chain(verdicts)
+    d = d.withColumn("active", active_before(F.col("chain") == 1, F.col("chain") == 0, "file", ["n"]))
+    return after_chain(d).drop("active", "chain")
 
 
 def emissions(verdicts: DataFrame) -> DataFrame:
@@ -88,7 +101,12 @@ def boundaries(verdicts: DataFrame, totals: DataFrame) -> DataFrame:
     pages = e.where("start is not null").select("file", F.col("start").alias("page")).union(totals.select("file", F.lit(1).alias("page"))).distinct()
     j = pages.join(best.withColumnRenamed("file", "__f"), (F.col("file") == F.col("__f")) & (F.col("page") - 1 == F.col("__k")), "left")
     conf, signal = F.coalesce("b.conf", F.lit(1.0)), F.coalesce("b.signal", F.lit("none"))
-    return j.select("file", "page", F.when(signal.isin(V.SIGNOFF_SIGNALS), F.least(F.lit(1.0), conf + 0.10)).otherwise(conf).alias("confidence"), signal.alias("signal"))
+    return j.select("file", "page", boosted(conf, signal).alias("confidence"), signal.alias("signal"))
+
+
+def boosted(conf: Column, signal: Column) -> Column:
+    """A sign-off adds to the confidence of the start behind it."""
+    return F.when(signal.isin(V.SIGNOFF_SIGNALS), F.least(F.lit(1.0), conf + 0.10)).otherwise(conf)
 
 
 def classify(starts: DataFrame, codes: DataFrame, totals: DataFrame, title_page: str) -> DataFrame:
