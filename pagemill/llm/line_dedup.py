@@ -3,14 +3,16 @@
 A text's words (A-Z lowered, white space collapsed) are cut into units: lines,
 paragraphs, or line pieces that end at a sentence or clause mark (``sentence``,
 the default: a passage that was pasted into the middle of a line has whole pieces
-of its own, but no whole line).  A unit of fewer than ``MIN_WORDS`` words repeats
-by chance, so what is hashed is, from every unit on, the shortest run of whole
-units with that many words.  Digests are grouped over all documents; the earliest
-occurrence (smallest doc_id, then place) stays, every other one is removed.
-
-A removed run is then grown word by word while its neighbours equal those of the
-kept occurrence, back to the last cut before it and on to the first cut
-``MIN_WORDS`` words after it: there the digests decide anew.  So a repeated
+of its own, but no whole line).  Lines and paragraphs are hashed whatever their
+length.  A sentence of fewer than ``MIN_WORDS`` words repeats by chance, so what is
+hashed is, from every one on, the shortest run of whole sentences with that many
+words, and a shorter text as a whole; ``min_words=1`` takes every sentence.  Digests
+are grouped over all documents; the earliest occurrence (smallest doc_id, then place)
+stays, every other one is removed.
+
+A removed run of sentences is then grown word by word while its neighbours equal
+those of the kept occurrence, back to the last cut before it and on to the first cut
+``min_words`` words after it: there the digests decide anew.  So a repeated
 passage goes as a whole, also the ends that are no whole unit.  Each removed word
 has an equal one in an earlier place; where a run overlaps its own copy, one
 period stays.  Removed spans keep their offsets in the original text, in code
@@ -81,7 +83,9 @@ class Words:
         self.cuts = np.flatnonzero(cut) + 1
 
     def runs(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """From each unit's first word, the shortest run of whole units with ``least`` words: first word and end."""
+        """From each unit's first word, the shortest run of whole units with ``least`` words: first word and end; a text of fewer is one."""
+        if 0 < len(self.hash) < least:
+            return np.array([0]), np.array([len(self.hash)])
         first = np.r_[0, self.cuts[:-1]] if len(self.cuts) else self.cuts
         at = np.searchsorted(self.cuts, first + least)
         has = at < len(self.cuts)
@@ -234,7 +238,7 @@ def _ask(unit: str, least: int, bits: int):
             return _rows([], [])
         r = np.array(runs, np.int64)
         size = {i: len(block.words(i).hash) for i in np.unique(r[:, 0]).tolist()}
-        inner = np.array([x[1] > 0 or x[2] < size[x[0]] for x in runs])
+        inner = np.array([unit == "sentence" and (x[1] > 0 or x[2] < size[x[0]]) for x in runs])
         # One question for all runs of this block with the same kept words.
         asked = np.column_stack([r[:, 4], r[:, 5], r[:, 1] - r[:, 6], r[:, 2] - r[:, 6]])
         asked[~inner] = -1
@@ -343,10 +347,14 @@ def _cut(unit: str, columns: list[str]):
     return run
 
 
-def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row with its text cut, and ``__pagemill_removed``: start, end, n_words and kept_doc_id of each removed span."""
+def dedup(docs: DataFrame, unit: str = "sentence", min_words: int | None = None) -> DataFrame:
+    """Every row with its text cut, and ``__pagemill_removed``: start, end, n_words and kept_doc_id of each removed span.
+
+    ``min_words`` is 1 for lines and paragraphs, ``MIN_WORDS`` for sentences.
+    """
     if unit not in ("line", "paragraph", "sentence"):
         raise ValueError(f"unknown unit {unit!r}")
+    min_words = min_words or (MIN_WORDS if unit == "sentence" else 1)
     n = blobs.bucket_count(docs, BLOCK_BYTES, LEAST_BLOCKS)
     bits = max(LEAST_BLOCKS, n // 4).bit_length() - 1
     ids = F.col("doc_id").cast("long")
@@ -360,12 +368,12 @@ def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -
     return by(dealt).cogroup(by(around)).applyInArrow(_cut(unit, docs.columns), schema)
 
 
-def repeats(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, unit: str = "sentence", min_words: int | None = None) -> DataFrame:
     """One row per removed span: doc_id, start, end, n_words and kept_doc_id."""
     return dedup(docs.select("doc_id", "text"), unit, min_words).select("doc_id", F.inline(REMOVED))
 
 
-def clean(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def clean(docs: DataFrame, unit: str = "sentence", min_words: int | None = None) -> DataFrame:
     """Every document, its removed spans cut out; adds nothing to the columns, n_chars is counted anew."""
     out = dedup(docs, unit, min_words).drop(REMOVED)
     if "n_chars" in docs.columns:
@@ -381,7 +389,7 @@ t as (select doc_id, text, len(ws) as n, list_transform(ws, lambda x: translate(
     list_filter(range(1, len(ws) + 1), lambda i: i = len(ws) or contains(gaps[i + 1], chr(10)) or contains('.!?,;:。！？，、；：…', ws[i][-1:])) as cuts from w where len(ws) > 0),
 o as (select *, list_transform(range(0, n), lambda i: list_sum(gl[1:i + 1]) + coalesce(list_sum(wl[1:i]), 0)) as ss from t),
 p as (select doc_id, ws, cuts, unnest(list_concat([0], cuts[1:-2])) as a from t),
-r as (select doc_id, a, list_filter(cuts, lambda c: c >= a + 10)[1] as z, array_to_string(ws[a + 1:list_filter(cuts, lambda c: c >= a + 10)[1]], ' ') as norm from p),
+r as (select doc_id, a, z, array_to_string(ws[a + 1:z], ' ') as norm from (select *, case when len(ws) < 10 then case when a = 0 then len(ws) end else list_filter(cuts, lambda c: c >= a + 10)[1] end as z from p)),
 f as (select *, first_value(doc_id) over v as kd, first_value(a) over v as ka from r where z is not null window v as (partition by norm order by doc_id, a)),
 h as (select doc_id, kd, a - ka as s, a, z, max(z) over (partition by doc_id, kd, a - ka order by a rows between unbounded preceding and 1 preceding) as upto from f where doc_id <> kd or a <> ka),
 i as (select *, sum((upto is null or a > upto)::int) over (partition by doc_id, kd, s order by a) as g from h),

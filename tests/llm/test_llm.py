@@ -361,6 +361,48 @@ def test_decontaminate_texts_shorter_than_the_item(spark):
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {3, 4}
 
 
+def every_window(docs, bench):
+    """(doc, item) -> (start, n_words, similarity) of the first best window over every start of every text."""
+    cut = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    shingles = lambda ws: [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    out = {}
+    for d, t in docs:
+        h = shingles(cut(t))
+        for i, x in bench:
+            item = shingles(cut(x))
+            b, m, best = collections.Counter(item), len(item), (0, 0)
+            for s in range(max(1, len(h) - m + 1)):
+                a = collections.Counter(h[s : s + m])
+                both = sum((a & b).values())
+                best = max(best, (both / (m + sum(a.values()) - both), -s))
+            if best[0] >= 0.75:
+                out[d, i] = (-best[1], min(len(h), m) + 4, round(best[0], 6))
+    return out
+
+
+def test_decontaminate_every_start(spark):
+    """Windows that no shingle's place aligns: halves swapped, clauses permuted, words inserted, left out and repeated."""
+    rnd = random.Random(31)
+    items = [prose(rnd, n) for n in (12, 40, 40, 80, 120)] + ["la la la la la la la la la la la la", " ".join(prose(rnd, 8).split() * 5)]
+    bench, texts = list(enumerate(items)), []
+    for x in items:
+        ws = x.split()
+        half = len(ws) // 2
+        swapped = ws[half:] + ws[:half]
+        thirds = [ws[i * len(ws) // 3 : (i + 1) * len(ws) // 3] for i in range(3)]
+        edits = [swapped, thirds[2] + thirds[0] + thirds[1], ws[:half] + ["new"] + ws[half:], ws[: half // 2] + ws[half // 2 + 1 :], ws[:half] + ws[half - 5 :], ws + ws, ws[3:] + ws[:3], swapped[:-2]]
+        texts += [" ".join(prose(rnd, rnd.choice([0, 3, 60])).split() + e + prose(rnd, rnd.choice([0, 2, 60])).split()) for e in edits]
+    texts += [" ".join(["la"] * 400), "la " * 9, prose(rnd, 300)]
+    docs = list(enumerate(texts))
+    want = every_window(docs, bench)
+    found = {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_words"], r["similarity"]) for r in decontaminate.matches(make(spark, texts), spark.createDataFrame(bench, BENCH), radius=63).collect()}
+    assert found == want and len(want) > 30
+    assert (3 * 8, 3) in want and want[3 * 8, 3][2] >= 0.89  # 80 words, halves swapped
+    # Pairs further apart than the radius are the only ones that may be missing.
+    near = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(make(spark, texts), spark.createDataFrame(bench, BENCH)).collect()}
+    assert near <= set(want) and len(near) >= 0.97 * len(want)
+
+
 def test_hamming_blocks_cover(spark):
     """Fingerprints within the radius share a block."""
     rnd = random.Random(4)
@@ -577,8 +619,9 @@ def test_reputation_shrinks(spark):
 # 6 ------------------------------------------------------------------------------------
 
 
-def brute_dedup(docs, unit="sentence", least=line_dedup.MIN_WORDS):
-    """Removed words of (doc_id, text) by the definition: equal runs of whole units, grown word by word."""
+def brute_dedup(docs, unit="sentence", least=None):
+    """Removed words of (doc_id, text) by the definition: equal runs of whole units, those of sentences grown word by word."""
+    least = least or (line_dedup.MIN_WORDS if unit == "sentence" else 1)
     docs = sorted(set(docs))
     words, cuts = [], []
     for _, t in docs:
@@ -590,7 +633,7 @@ def brute_dedup(docs, unit="sentence", least=line_dedup.MIN_WORDS):
     seen, hits = {}, []
     for d, (ws, cs) in enumerate(zip(words, cuts)):
         for a in [0, *cs[:-1]] if cs else []:
-            z = next((c for c in cs if c >= a + least), None)
+            z = next((c for c in cs if c >= a + least), None) if len(ws) >= least else len(ws) if a == 0 else None
             if z is not None and (first := seen.setdefault(tuple(ws[a:z]), (d, a))) != (d, a):
                 hits.append((d, a, z, *first))
     # Hits of one run first: growing starts from the run's ends.
@@ -604,6 +647,9 @@ def brute_dedup(docs, unit="sentence", least=line_dedup.MIN_WORDS):
     gone = collections.defaultdict(set)
     for (d, kd, s), mine in runs.items():
         for a, z in mine:
+            if unit != "sentence":
+                gone[docs[d]] |= set(range(a, z))
+                continue
             low = max([c for c in cuts[kd] if c < a - s], default=0)
             high = next((c for c in cuts[kd] if c >= z - s + least), len(words[kd]))
             while a - s > low and a > 0 and words[d][a - 1] == words[kd][a - s - 1]:
@@ -645,7 +691,21 @@ def test_line_dedup(spark, unit):
     rows = [(0, f"{b}\n{a}"), (1, f"x\n\n{a.upper()}\n\ny"), (2, f"{short}\n\n{a}  "), (3, f"{a}\n\n{a}"), (4, short), (5, None), (6, ""), (7, "go on. " * 40), (8, "go on. " * 15)]
     out = {i: new for i, _, new, _ in check_and_rows(spark, rows, unit)}
     if unit == "line":
-        assert out == {0: f"{b}\n{a}", 1: "x\n\ny", 2: f"{short}  ", 3: "", 4: short, 5: None, 6: "", 7: "go on. " * 40, 8: "go on. " * 15}
+        assert out == {0: f"{b}\n{a}", 1: "x\n\ny", 2: f"{short}  ", 3: "", 4: "", 5: None, 6: "", 7: "go on. " * 40, 8: "go on. " * 15}
+
+
+def test_short_units(spark):
+    """Lines, paragraphs and whole texts of a few words go, all but the first; single short sentences stay unless asked for."""
+    rnd = random.Random(22)
+    nine = prose(rnd, 9)
+    rows = [(i, f"{prose(rnd, 12)}\n{nine}\n{prose(rnd, 12)}") for i in range(50)] + [(100 + i, nine) for i in range(50)]
+    for unit in ("line", "paragraph", "sentence"):
+        out = {i: new for i, _, new, _ in check_and_rows(spark, rows, unit)}
+        assert sum(nine in new for i, new in out.items() if i < 50) == (1 if unit == "line" else 50)
+        assert [i for i in range(100, 150) if out[i]] == ([] if unit == "line" else [100])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs, "sentence", 1).collect()}
+    assert [i for i, t in sorted(exact.items()) if nine in t] == [0]
 
 
 def check_and_rows(spark, rows, unit):
