@@ -1,16 +1,34 @@
-"""Noisy titles against a reference nomenclature (idx, name)."""
+"""Noisy titles against a reference nomenclature (idx, name) of any length.
+
+The k best entries per title by (exact, containment, trigram similarity, token ratio,
+table order), the same as if every title were scored against every entry, found in
+rounds:
+
+* the entries that have one of a title's rarest trigrams are scored; the k-th best
+  sets the similarity that others must reach;
+* entries that can reach it share a trigram of the title's prefix, its rarest
+  |A| - ceil(t |A|) + 1 ones, and have a fitting number of trigrams;
+* a contained name has the rarest trigram of what is inside the other;
+* a title with fewer than k entries that share a trigram is filled up by token ratio
+  alone.  Entries are dealt into blocks of equal length; a block's largest count of
+  each letter bounds the ratio from above.  The best block is scored, then those whose
+  bound reaches what it gave.
+
+Ratios, the one step in Python, are made for entries that tie with the k-th best and in
+those blocks only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.folders import stored
 
-
-#: A nomenclature up to this many entries (counted) meets every title directly; a longer one through shared trigrams.
-DIRECT_ENTRIES = 5_000
+#: Rarest trigrams of a title that are looked up first; entries in a block.
+PROBES, BLOCK = 3, 256
 
 
 def entries(nomenclature: DataFrame) -> DataFrame:
@@ -19,36 +37,119 @@ def entries(nomenclature: DataFrame) -> DataFrame:
     return e.where("e_squashed <> ''").withColumn("e_trigrams", T.trigrams(F.col("e_squashed")))
 
 
-def candidates(q: DataFrame, e: DataFrame) -> DataFrame:
-    """Titles with the entries that they are scored against.
+def _titles(titles: DataFrame) -> DataFrame:
+    q = titles.select("title").where("title is not null").distinct().withColumn("q_tokens", T.title_tokens(F.col("title"), strip_identifiers=True, compose=True)).withColumn("q_squashed", T.squash(F.col("q_tokens")))
+    return q.withColumn("q_trigrams", F.when(F.col("q_squashed") != "", T.trigrams(F.col("q_squashed"))).otherwise(F.array().cast("array<string>")))
 
-    Few entries: all, the checked dimension broadcast.  Many: those with a trigram in
-    common, which every equal, contained or similar one has, and the first entry for
-    titles that have none (a title always has a best entry).
-    """
-    if e.count() <= DIRECT_ENTRIES:
-        return q.join(F.broadcast(e))
-    k = q.select("title", F.explode("q_trigrams").alias("t")).join(e.select("idx", F.explode("e_trigrams").alias("t")), "t").select("title", "idx").distinct()
-    first = e.agg(F.min("idx")).first()[0]
-    alone = q.select("title").join(k.select("title").distinct(), "title", "left_anti").select("title", F.lit(first).alias("idx"))
-    return q.join(k.unionByName(alone), "title").join(e, "idx")
-
-
-def score(titles: DataFrame, nomenclature: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Scores of every distinct title (column ``title``) against its ``candidates``."""
-    q = titles.select("title").distinct().withColumn("q_tokens", T.title_tokens(F.col("title"), strip_identifiers=True, compose=True)).withColumn("q_squashed", T.squash(F.col("q_tokens")))
-    q = q.withColumn("q_trigrams", F.when(F.col("q_squashed") != "", T.trigrams(F.col("q_squashed"))).otherwise(F.array().cast("array<string>")))
-    s = candidates(q, entries(nomenclature))
+
+def scored(pairs: DataFrame, q: DataFrame, e: DataFrame) -> DataFrame:
+    """(title, idx) with exact, containment and trigram."""
+    s = pairs.join(q, "title").join(e, "idx")
     s = s.withColumn("exact", ((F.col("q_squashed") != "") & (F.col("q_squashed") == F.col("e_squashed"))).cast("int"))
     s = s.withColumn("containment", ((F.col("q_squashed") != "") & T.contained(F.col("q_squashed"), F.col("e_squashed"))).cast("int"))
     s = s.withColumn("trigram", F.when(F.col("q_squashed") == "", 0.0).otherwise(T.jaccard(F.col("q_trigrams"), F.col("e_trigrams"))))
-    return s.withColumn("token_set", T.token_set_ratio("q_tokens", "e_tokens") if fuzzy else F.lit(0.0))
+    return s.select("title", "idx", "exact", "containment", "trigram")
+
+
+def _by_rarity(rows: DataFrame, key: str, grams: str, freq: DataFrame) -> DataFrame:
+    """(key, place, t, found): a row's trigrams, the rarest first; those of no entry are not ``found``."""
+    x = rows.select(key, F.explode(grams).alias("t")).join(freq, "t", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    listed = F.array_sort(F.collect_list(F.struct("n", "t")))
+    return x.groupBy(key).agg(listed.alias("o")).select(key, F.posexplode("o").alias("place", "x")).select(key, "place", "x.t", (F.col("x.n") > 0).alias("found"))
+
+
+def _inner(squashed: str) -> Column:
+    """Distinct trigrams inside a string, without its padded ends."""
+    s = F.col(squashed)
+    return F.when(F.length(s) >= 5, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))))
+
+
+def _contained(q: DataFrame, e: DataFrame, freq: DataFrame) -> DataFrame:
+    """(title, idx) of which one is in the other: found by the rarest trigram inside the one that is contained."""
+    qi, ei = q.select("title", "q_squashed", _inner("q_squashed").alias("g")), e.select("idx", "e_squashed", _inner("e_squashed").alias("g"))
+    rarest = lambda d, key: _by_rarity(d, key, "g", freq).where("place = 0").select(key, "t")
+    fits = T.contained(F.col("q_squashed"), F.col("e_squashed"))
+    every = lambda d, *cols: d.select(*cols, F.explode("g").alias("t"))
+    a = rarest(qi, "title").join(qi.drop("g"), "title").join(every(ei, "idx", "e_squashed"), "t").where(fits)
+    b = rarest(ei, "idx").join(ei.drop("g"), "idx").join(every(qi, "title", "q_squashed"), "t").where(fits)
+    return a.select("title", "idx").union(b.select("title", "idx"))
+
+
+def sharing(q: DataFrame, e: DataFrame, k: int) -> DataFrame:
+    """(title, idx, exact, containment, trigram) of the entries with a common trigram that may be among the k best, ties with the k-th included."""
+    freq = stored(e.select(F.explode("e_trigrams").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")), "freq")
+    order = stored(_by_rarity(q, "title", "q_trigrams", freq).join(q.select("title", F.size("q_trigrams").alias("nq")), "title"), "order")
+    nth = F.row_number().over(Window.partitionBy("title").orderBy("place"))
+    order = order.where("found").withColumn("nth", nth)
+    posting = e.select("idx", F.size("e_trigrams").alias("ne"), F.explode("e_trigrams").alias("t"))
+    first = order.where(F.col("nth") <= PROBES).join(posting, "t").select("title", "idx").union(_contained(q, e, freq)).distinct()
+    first = stored(scored(first, q, e), "first")
+    best = Window.partitionBy("title").orderBy(F.desc("exact"), F.desc("containment"), F.desc("trigram"))
+    kth = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("title", F.when(F.col("containment") == 1, 2.0).otherwise(F.col("trigram")).alias("reach"))
+    more = order.where(F.col("nth") > PROBES).join(kth, "title", "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
+    more = more.where(F.col("place") < F.col("nq") - F.ceil(F.col("reach") * F.col("nq") - 1e-9) + 1).where("reach <= 1").join(posting, "t")
+    size = (F.col("ne") >= F.col("reach") * F.col("nq") - 1e-9) & (F.col("ne") * F.col("reach") <= F.col("nq") + 1e-9)
+    more = more.where(size).select("title", "idx").distinct().join(first.select("title", "idx"), ["title", "idx"], "left_anti")
+    every = first.union(scored(more, q, e)).where("trigram > 0")
+    return every.withColumn("r", F.rank().over(best)).where(F.col("r") <= k).drop("r")
+
+
+def _letters(text: str) -> Column:
+    """How often each letter stands in a text."""
+    s = F.col(text)
+    return F.map_from_entries(F.transform(F.array_distinct(F.split(s, "")), lambda c: F.struct(c.alias("c"), (F.length(s) - F.length(F.replace(s, c, F.lit("")))).alias("n"))))
+
+
+def _token_text(tokens: str) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
+
+
+def filled(q: DataFrame, e: DataFrame, found: DataFrame, k: int, fuzzy: bool) -> DataFrame:
+    """(title, idx) of entries without a common trigram for titles that have fewer than k with one: enough for the k best."""
+    have = found.groupBy("title").agg(F.count(F.lit(1)).alias("have"))
+    short = q.join(have, "title", "left").withColumn("need", k - F.coalesce("have", F.lit(0))).where("need > 0")
+    # Without ratios the table's order decides, and fewer than k entries are taken already.
+    plain = short if not fuzzy else short.where("q_squashed = ''")
+    first = e.orderBy("idx").limit(2 * k).select("idx")
+    pairs = plain.select("title").join(F.broadcast(first)).select("title", "idx")
+    if fuzzy:
+        pairs = pairs.union(_by_ratio(stored(short.where("q_squashed <> ''").select("title", "need", "q_tokens"), "short"), e, found))
+    return pairs.join(found.select("title", "idx"), ["title", "idx"], "left_anti")
+
+
+def _by_ratio(short: DataFrame, e: DataFrame, found: DataFrame) -> DataFrame:
+    """(title, idx) that hold the ``need`` best entries by token ratio besides ``found``."""
+    t = short.withColumn("s", _token_text("q_tokens")).withColumn("ls", F.length("s")).withColumn("letters", _letters("s"))
+    d = e.select("idx", "e_tokens", _token_text("e_tokens").alias("s")).withColumn("le", F.length("s"))
+    size = d.groupBy("le").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    d = stored(d.join(size, "le").withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts"))), "dealt")
+    most = d.select("le", "part", F.explode(_letters("s")).alias("c", "n")).groupBy("le", "part", "c").agg(F.max("n").alias("n")).groupBy("le", "part").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("most"))
+    common = F.aggregate(F.map_entries("letters"), F.lit(0), lambda acc, x: acc + F.least(x["value"], F.coalesce(F.try_element_at("most", x["key"]), F.lit(0))))
+    # Titles that share too little with any entry, against one row for BLOCK entries.
+    bound = stored(t.select("title", "need", "ls", "letters").join(most).select("title", "need", "le", "part", (F.lit(2.0) * F.least(common, F.col("ls"), F.col("le")) / (F.col("ls") + F.col("le"))).alias("bound")), "bound")
+
+    def rated(blocks: DataFrame) -> DataFrame:
+        x = blocks.join(d, ["le", "part"]).join(found.select("title", "idx"), ["title", "idx"], "left_anti").join(t.select("title", "q_tokens"), "title")
+        return x.select("title", "need", "idx", T.token_set_ratio("q_tokens", "e_tokens").alias("ratio"))
+
+    w = Window.partitionBy("title").orderBy(F.desc("bound"), "le", "part")
+    ranked = bound.withColumn("r", F.row_number().over(w))
+    first = stored(rated(ranked.where("r = 1")), "rated")
+    kth = first.withColumn("r", F.row_number().over(Window.partitionBy("title").orderBy(F.desc("ratio")))).where("r = need").select("title", "ratio")
+    rest = ranked.where("r > 1").join(kth.withColumnRenamed("ratio", "reach"), "title", "left").where("reach is null or bound >= reach")
+    both = first.union(rated(rest.select("title", "need", "le", "part")))
+    return both.withColumn("r", F.row_number().over(Window.partitionBy("title").orderBy(F.desc("ratio"), "idx"))).where("r <= need").select("title", "idx")
 
 
 def top(titles: DataFrame, nomenclature: DataFrame, k: int = 1, fuzzy: bool = True) -> DataFrame:
-    """The k best entries per title by (exact, containment, trigram, token set), table order on ties."""
+    """The k best entries per distinct title (fewer only if the table has fewer); null titles have none."""
+    q, e = stored(_titles(titles), "titles"), stored(entries(nomenclature), "entries")
+    found = stored(sharing(q, e, k), "sharing")
+    s = found.unionByName(scored(filled(q, e, found, k, fuzzy), q, e))
+    s = s.join(q.select("title", "q_tokens"), "title").join(e.select("idx", "name", "e_tokens"), "idx")
+    s = s.withColumn("token_set", T.token_set_ratio("q_tokens", "e_tokens") if fuzzy else F.lit(0.0))
     w = Window.partitionBy("title").orderBy(F.desc("exact"), F.desc("containment"), F.desc("trigram"), F.desc("token_set"), "idx")
-    best = score(titles, nomenclature, fuzzy).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best.select(
         "title", "rank", "idx", "name", "exact", "containment", F.round("trigram", 4).alias("trigram"), F.round("token_set", 4).alias("token_set"),
         T.band(F.col("exact"), F.col("containment"), F.col("trigram"), F.col("token_set")).alias("band"),

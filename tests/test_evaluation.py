@@ -83,12 +83,9 @@ def test_title_vectors(spark):
     n = spark.createDataFrame(list(enumerate(TABLE)), "idx int, name string")
     match = ["Скица", "Обяснителна записка", "С К И Ц А", "Р А З Р Е З", "О б я с н и т е л н а   з а п и с к а", "Скца", "Обяснителна запска", "Скнца", "Ситуацоя", "Cкицa", "Pазрез", "сКиЦа", "РАЗРЕЗ", "Скица № 1234 / 12.03.2017", "Становище № 4279762"]
     none = ["ЧЕЛЕН ЛИСТ", "НОТАРИАЛЕН АКТ", "", "№ 12345 / 01.02.2003"]
-    for direct in (M.DIRECT_ENTRIES, 0):  # a short table, and a long one met through trigrams
-        old, M.DIRECT_ENTRIES = M.DIRECT_ENTRIES, direct
-        try:
-            got = {r["title"]: r for r in M.top(spark.createDataFrame([(x,) for x in match + none + ["Становище по"]], "title string"), n).collect()}
-        finally:
-            M.DIRECT_ENTRIES = old
+    others = spark.createDataFrame([(100 + i, f"друго {i} xyz") for i in range(6_000)], "idx int, name string")
+    for table in (n, n.union(others)):  # a short table, and a long one
+        got = {r["title"]: r for r in M.top(spark.createDataFrame([(x,) for x in match + none + ["Становище по"]], "title string"), table).collect()}
         assert all(got[t]["band"] == "MATCH" for t in match), [t for t in match if got[t]["band"] != "MATCH"]
         assert all(got[t]["band"] == "NONE" for t in none) and got["Становище по"]["band"] in ("MATCH", "AMBIGUOUS")
         assert got["Скица № 1234 / 12.03.2017"]["name"] == "Скица" and got[""]["name"] == "Архитектура"
