@@ -1,7 +1,8 @@
 """Events of detection logs: sections closed by a file's marker, title-gate events, counters, attribution.
 
 Input is what ``sources.detection_log`` makes of lines: (source, line_no, ...).  A
-source is one log; its lines are one ordered partition (logs are megabytes).
+source is one log of any length: what runs through all of it is a ``scan``, windows
+are over a file's section.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .logs import carried, next_marker, previous_marker
+from .logs import carried
+from .scan import scan
 
 KEPT = ["KEEP", "CAPPED", "RELOC"]
 
@@ -20,11 +22,10 @@ def sections(lines: DataFrame) -> DataFrame:
 
     Lines behind the last marker are dropped; of sections closed by one name the last counts.
     """
-    w = Window.partitionBy("source").orderBy("line_no")
-    d = lines.withColumn("file", next_marker(F.col("file_marker"), "source", ["line_no"])).where("file is not null")
-    before = F.count("file_marker").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("section", before)
-    return d.withColumn("__last", F.max("section").over(Window.partitionBy("source", "file"))).where("section = __last").drop("__last")
+    marker = F.col("file_marker")
+    d = scan(lines, ["source"], ["line_no"], file=("next", marker), section=("count_before", marker)).where("file is not null")
+    last = d.groupBy("source", "file").agg(F.max("section").alias("section"))
+    return d.join(last, ["source", "file", "section"], "left_semi")
 
 
 def title_events(lines: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def counters(lines: DataFrame, strata: DataFrame, masks: DataFrame, known: list[
 
 def predictions(lines: DataFrame) -> DataFrame:
     """(source, file, page) of the last ``pred`` line of each file: that of the file's name above it."""
-    d = lines.withColumn("file", previous_marker(F.col("any_pdf"), "source", ["line_no"])).where("file is not null and pred is not null and any_pdf is null")
+    d = scan(lines, ["source"], ["line_no"], file=("last", F.col("any_pdf"))).where("file is not null and pred is not null and any_pdf is null")
     last = d.groupBy("source", "file").agg(F.max_by("pred", "line_no").alias("pred"))
     return last.select("source", "file", F.explode(F.array_distinct("pred")).alias("page"))
 
@@ -134,10 +135,8 @@ def run_results(lines: DataFrame, label: Column) -> DataFrame:
     stated before; rotations are kept only where there is data (tp + fp + fn > 0) and
     close the file.  Of a label's repeats the last wins.
     """
-    w = Window.partitionBy("source").orderBy("line_no")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     d = lines.withColumn("label", F.when(F.col("run_file").isNotNull(), label))
-    d = d.withColumn("__file", F.count("label").over(upto)).where("__file > 0")
+    d = scan(d, ["source"], ["line_no"], __file=("count", F.col("label"))).where("__file > 0")
     f = Window.partitionBy("source", "__file").orderBy("line_no")
     back = f.rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("label", F.first("label").over(f.rowsBetween(Window.unboundedPreceding, 0))).withColumn("began", F.first("clock").over(f.rowsBetween(Window.unboundedPreceding, 0)))
@@ -161,6 +160,23 @@ def timing(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return t.groupBy(*by).agg(n.alias("n"), s.alias("total_s"), zero(F.try_divide(s, n)).alias("s_per_file"), p.alias("pages"), zero(F.try_divide(p, n)).alias("pages_per_file"), zero(F.try_divide(s, p)).alias("s_per_page"))
 
 
+def rotation_blocks(lines: DataFrame) -> DataFrame:
+    """(source, precision, recall, f1) of a log's last block of overall rotation figures.
+
+    A block is what stands between its heading and the next heading of any kind.  Of each
+    figure its first line there counts, recall only behind precision, f1 only behind
+    recall, else it is null; a block without precision is none.  Equal lines elsewhere
+    (the boundaries' figures have the same form) are other blocks' lines.
+    """
+    d = scan(lines, ["source"], ["line_no"], kind=("last", F.col("heading")), block=("count", F.col("heading"))).where("kind = 'rotation'")
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("line_no", F.col(c).alias("v")))).alias(c)
+    b = d.groupBy("source", "block").agg(first("precision"), first("recall"), first("f1")).where("precision is not null")
+    b = b.withColumn("recall", F.when(F.col("recall.line_no") > F.col("precision.line_no"), F.col("recall")))
+    b = b.withColumn("f1", F.when(F.col("f1.line_no") > F.col("recall.line_no"), F.col("f1")))
+    last = F.max_by(F.struct(*[F.col(f"{c}.v").alias(c) for c in ("precision", "recall", "f1")]), "block")
+    return b.groupBy("source").agg(last.alias("x")).select("source", "x.*")
+
+
 def rotation_history(history: DataFrame, current: DataFrame) -> DataFrame:
     """(run, precision, recall, f1): the current run's row takes the place of a stored one, missing figures are 0."""
     now = current.select("run", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])

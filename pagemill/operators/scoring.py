@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scan import scan
+
 
 def compare(truth: DataFrame, pred: DataFrame, keys: tuple[str, ...] = ("file", "page")) -> DataFrame:
     """Full outer match on distinct keys with in_truth and in_pred; one shuffle by key."""
@@ -35,9 +37,15 @@ def prf(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def drop_masked(df: DataFrame, masks: DataFrame) -> DataFrame:
-    """Rows whose page is in none of the file's inclusive ranges (lo, hi)."""
-    m = masks.select(F.col("file").alias("__f"), "lo", "hi")
-    return df.join(m, (df["file"] == m["__f"]) & df["page"].between(m["lo"], m["hi"]), "left_anti")
+    """Rows whose page is in none of the file's inclusive ranges (lo, hi), which may overlap.
+
+    A sweep: ranges open at lo and close behind hi, a page is masked where more have
+    opened than closed; linear in pages and ranges, whatever their length.
+    """
+    m = masks.where("lo <= hi").select("file", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("hi").alias("at"), F.lit(2).alias("kind")))).alias("e")).select("file", "e.*")
+    rows = df.select("*", F.col("page").alias("__at"), F.lit(1).alias("__kind")).unionByName(m.select("file", F.col("at").alias("__at"), F.col("kind").alias("__kind")), allowMissingColumns=True)
+    edge = lambda k: ("count", F.when(F.col("__kind") == k, 1))
+    return scan(rows, ["file"], ["__at", "__kind"], __opened=edge(0), __closed=edge(2)).where("__kind = 1 and __opened <= __closed").select(*df.columns)
 
 
 def by_stratum(compared: DataFrame, strata: DataFrame, total: str = "ALL", known: tuple[str, ...] = ()) -> DataFrame:
@@ -74,23 +82,28 @@ def tolerance_match(truth: DataFrame, pred: DataFrame, tol: int) -> DataFrame:
     """Greedy one-to-one matching within ``tol`` pages, per file: tp, fp, fn.
 
     Truths go in page order, each takes its nearest free prediction, the lower
-    page on ties (the order of a hash set decides there otherwise).  The fold's
-    state is the array of free predictions of one file.
+    page on ties (the order of a hash set decides there otherwise).  Only truths that
+    may want the same prediction depend on each other: a file is cut where neighbours
+    are more than twice the tolerance apart, and each run is folded alone.  A truth meets
+    at most 2 tol + 1 predictions, and a run's fold remembers no more taken ones.
     """
-    both = truth.select("file", "page", F.lit(True).alias("t")).union(pred.select("file", "page", F.lit(False))).distinct()
-    sets = both.groupBy("file").agg(
-        F.array_sort(F.collect_list(F.when(F.col("t"), F.col("page")))).alias("t"), F.array_sort(F.collect_list(F.when(~F.col("t"), F.col("page")))).alias("p")
-    )
-
-    def step(acc: Column, page: Column) -> Column:
-        near = F.filter(acc["free"], lambda x: F.abs(x - page) <= tol)
-        best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(x - page).alias("d"), x.alias("p"))))["p"]
-        return F.when(F.size(near) == 0, acc).otherwise(F.struct((acc["tp"] + 1).alias("tp"), F.filter(acc["free"], lambda x: x != best).alias("free")))
-
-    tp = F.aggregate("t", F.struct(F.lit(0).alias("tp"), F.col("p").alias("free")), step, lambda acc: acc["tp"])
-    return sets.select("file", tp.alias("tp"), F.size("t").alias("n_true"), F.size("p").alias("n_pred")).select(
-        "file", F.col("tp").cast("long").alias("tp"), (F.col("n_pred") - F.col("tp")).cast("long").alias("fp"), (F.col("n_true") - F.col("tp")).cast("long").alias("fn")
-    )
+    t, p = truth.select("file", F.col("page").cast("long").alias("page")).distinct(), pred.select("file", F.col("page").cast("long").alias("page")).distinct()
+    offer = t.select("file", F.col("page").alias("t"), F.explode(F.sequence(F.col("page") - tol, F.col("page") + tol)).alias("page")).join(p, ["file", "page"])
+    near = offer.groupBy("file", "t").agg(F.sort_array(F.collect_list(F.struct(F.abs(F.col("page") - F.col("t")).alias("d"), F.col("page").alias("p")))).alias("near"))
+    prev = scan(near, ["file"], ["t"], prev=("last_before", F.col("t")))
+    cut = scan(prev, ["file"], ["t"], run=("count", F.when(F.col("prev").isNull() | (F.col("t") - F.col("prev") > 2 * tol), 1)))
+    runs = cut.groupBy("file", "run").agg(F.sort_array(F.collect_list(F.struct("t", "near"))).alias("truths"))
+
+    def step(acc: Column, x: Column) -> Column:
+        left = F.filter(acc["taken"], lambda p: p >= x["t"] - tol)
+        best = F.get(F.filter(x["near"], lambda n: ~F.array_contains(left, n["p"])), F.lit(0))["p"]
+        return F.when(best.isNull(), F.struct(acc["tp"].alias("tp"), left.alias("taken"))).otherwise(F.struct((acc["tp"] + 1).alias("tp"), F.array_append(left, best).alias("taken")))
+
+    none = F.array().cast("array<bigint>")
+    hits = runs.select("file", F.aggregate("truths", F.struct(F.lit(0).cast("long").alias("tp"), none.alias("taken")), step, lambda acc: acc["tp"]).alias("tp")).groupBy("file").agg(F.sum("tp").alias("tp"))
+    n = t.select("file", F.lit(1).alias("t"), F.lit(0).alias("p")).union(p.select("file", F.lit(0), F.lit(1))).groupBy("file").agg(F.sum("t").alias("n_true"), F.sum("p").alias("n_pred"))
+    tp = F.coalesce("tp", F.lit(0).cast("long"))
+    return n.join(hits, "file", "left").select("file", tp.alias("tp"), (F.col("n_pred") - tp).alias("fp"), (F.col("n_true") - tp).alias("fn"))
 
 
 def rotation_counts(joined: DataFrame, by: list[str]) -> DataFrame:

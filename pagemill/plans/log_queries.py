@@ -207,3 +207,40 @@ def rotation_history(spark, sf):
     h = table(spark, sf, "part").groupBy((F.col("p_partkey") % 7).cast("int").alias("run")).agg(F.round(s, 4).alias("precision"), F.round(s + 1, 4).alias("recall"), F.round(s + 2, 4).alias("f1"))
     now = spark.createDataFrame([(3, 12.5, None, None)], "run int, precision double, recall double, f1 double")
     return E.rotation_history(h, now)
+
+
+# A log per user: blocks of overall figures with few distinct values, so that lines repeat within and across logs.
+OVERALL_LOG = """select user_id, cast(row_number() over (partition by user_id order by ts, event_id) as int) as line_no, {clock} || case event_id * 7 % 11
+    when 0 then '   PAGE ROTATION' when 1 then '   BOUNDARY DETECTION ' when 2 then '     Precision : ' || cast(event_id % 4 as string) || '.5%' when 3 then '     Precision : ' || cast(event_id % 5 as string) || '1.0%'
+    when 4 then '     Recall    : ' || cast(event_id % 4 as string) || '.5%' when 5 then '     Recall    : ' || cast(event_id % 5 as string) || '1.0%' when 6 then '     F1 score  : ' || cast(event_id % 4 as string) || '.5%'
+    when 7 then '     F1 score  : ' || cast(event_id % 3 as string) || '0.0%' when 8 then ' NO PAGE ROTATION here' else ' note' end as line from events"""
+OVERALL_SQL = rf"""ol as ({OVERALL_LOG.format(clock="strftime(ts, '%H:%M:%S')")}),
+  oh as (select *, nullif(regexp_extract(line, '^\d\d:\d\d:\d\d\s*(BOUNDARY DETECTION|PAGE ROTATION)\s*$', 1), '') as h, try_cast(nullif(regexp_extract(line, 'Precision\s*:\s*([\d.]+)%', 1), '') as double) as p,
+    try_cast(nullif(regexp_extract(line, 'Recall\s*:\s*([\d.]+)%', 1), '') as double) as r, try_cast(nullif(regexp_extract(line, 'F1 score\s*:\s*([\d.]+)%', 1), '') as double) as f from ol),
+  ob as (select *, last_value(h ignore nulls) over v as kind, count(h) over v as block from oh window v as (partition by user_id order by line_no)),
+  oo as (select user_id, block, arg_min(p, line_no) filter (p is not null) as p, min(line_no) filter (p is not null) as pl, arg_min(r, line_no) filter (r is not null) as r, min(line_no) filter (r is not null) as rl,
+    arg_min(f, line_no) filter (f is not null) as f, min(line_no) filter (f is not null) as fl from ob where kind = 'PAGE ROTATION' group by all),
+  ot as (select user_id, p as precision, case when rl > pl then r end as recall, case when rl > pl and fl > rl then f end as f1 from oo where p is not null qualify block = max(block) over (partition by user_id))"""
+
+
+def _overall(spark: SparkSession, sf: str) -> DataFrame:
+    log = spark.sql(OVERALL_LOG.format(clock="date_format(ts, 'HH:mm:ss')").replace("from events", "from {events}"), events=table(spark, sf, "events"))
+    return E.rotation_blocks(G.parse_overall(log.withColumnRenamed("user_id", "source"))).withColumnRenamed("source", "user_id")
+
+
+@query(f"with {OVERALL_SQL} select * from ot")
+def rotation_overall(spark, sf):
+    """T15: a log's overall rotation figures by their section, whatever else has the same text."""
+    return _overall(spark, sf)
+
+
+@query(f"""with {OVERALL_SQL}, h as (select (p_partkey % 7)::int as run, round(avg(p_size), 4) as precision, round(avg(p_size) + 1, 4) as recall, round(avg(p_size) + 2, 4) as f1 from part group by 1),
+  n as (select (user_id % 5 + 4)::int as run, arg_max(row(precision, recall, f1), user_id) as x from ot group by 1), m as (select run, x[1] as precision, coalesce(x[2], 0) as recall, coalesce(x[3], 0) as f1 from n)
+  select run, precision, recall, f1 from h where run not in (select run from m) union all select run, precision, recall, f1 from m""")
+def rotation_history_from_logs(spark, sf):
+    """O-W15: runs' figures as their logs state them take the place of stored ones."""
+    s = F.avg("p_size")
+    h = table(spark, sf, "part").groupBy((F.col("p_partkey") % 7).cast("int").alias("run")).agg(F.round(s, 4).alias("precision"), F.round(s + 1, 4).alias("recall"), F.round(s + 2, 4).alias("f1"))
+    # The log of a run's last user.
+    x = F.max_by(F.struct("precision", "recall", "f1"), "user_id")
+    return E.rotation_history(h, _overall(spark, sf).groupBy((F.col("user_id") % 5 + 4).cast("int").alias("run")).agg(x.alias("x")).select("run", "x.*"))

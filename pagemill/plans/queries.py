@@ -19,6 +19,7 @@ from ..operators import logs as L
 from ..operators import matching as M
 from ..operators import scoring as S
 from ..operators import truth as R
+from ..operators.scan import scan
 from ..sources import sinks
 from . import decision as D
 
@@ -432,21 +433,21 @@ SEQ = ["ts", "event_id"]
 def asof_next_marker(spark, sf):
     """O-J11: lines belong to the marker that follows."""
     m = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    return _events(spark, sf).select("event_id", L.next_marker(m, "user_id", SEQ).alias("marker"))
+    return scan(_events(spark, sf), ["user_id"], SEQ, marker=("next", m)).select("event_id", "marker")
 
 
 @query("""select event_id, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as marker from events""")
 def asof_prev_marker(spark, sf):
     """O-J12: lines belong to the marker before."""
     m = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    return _events(spark, sf).select("event_id", L.previous_marker(m, "user_id", SEQ).alias("marker"))
+    return scan(_events(spark, sf), ["user_id"], SEQ, marker=("last", m)).select("event_id", "marker")
 
 
 @query("""select event_id, coalesce(last_value(case when event_type = 'view' then floor(value)::bigint end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), 0) as iteration from events""")
 def carry_iteration(spark, sf):
     """O-J14."""
     v = F.when(F.col("event_type") == "view", F.floor("value"))
-    return _events(spark, sf).select("event_id", L.carried(v, "user_id", SEQ).alias("iteration"))
+    return scan(_events(spark, sf), ["user_id"], SEQ, it=("last", v)).select("event_id", F.coalesce("it", F.lit(0)).alias("iteration"))
 
 
 DUP_SQL = """c as (select event_id, user_id, ts, event_type, floor(value)::bigint % 5 as page, sum((event_type = 'view')::int) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as it from events),

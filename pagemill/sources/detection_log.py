@@ -25,6 +25,8 @@ PREDICTIONS = r"pred=\[([^\]]*)\]"
 RUN_FILE = r"File\s+:\s+\S+/(Image_\S+\.pdf)"
 RUN_PAGES = r"end-of-document detection \((\d+) pages\)"
 RUN_BOUNDARIES = r"Boundaries — TP=\d+ FP=\d+ FN=\d+.*F1=(\d+)%"
+RUN_PRECISION, RUN_RECALL, RUN_F1 = r"Precision\s*:\s*([\d.]+)%", r"Recall\s*:\s*([\d.]+)%", r"F1 score\s*:\s*([\d.]+)%"
+RUN_HEADING = r"^(?:\d{2}:\d{2}:\d{2})?\s*(BOUNDARY DETECTION|PAGE ROTATION)\s*$"
 RUN_ROTATIONS = r"Rotations\s+— TP=(\d+) FP=(\d+) FN=(\d+).*F1=(\d+)%"
 
 
@@ -75,6 +77,15 @@ def parse_detection(log: DataFrame) -> DataFrame:
     )
 
 
+def parse_overall(log: DataFrame) -> DataFrame:
+    """Adds what a line says of a run's overall figures: heading (rotation or boundaries), precision, recall, f1."""
+    line = F.col("line")
+    heading = F.regexp_extract(line, RUN_HEADING, 1)
+    of = lambda p: F.when(line.rlike(p), F.regexp_extract(line, p, 1).try_cast("double"))
+    kind = F.when(heading == "PAGE ROTATION", "rotation").when(heading != "", "boundaries")
+    return log.select("*", kind.alias("heading"), of(RUN_PRECISION).alias("precision"), of(RUN_RECALL).alias("recall"), of(RUN_F1).alias("f1"))
+
+
 def parse_run(log: DataFrame) -> DataFrame:
     """Adds what a line of a test run's log says: file, clock, pages, boundary F1, rotation counts and F1."""
     line = F.col("line")
