@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .committed import publish
 
 
 def output_name(stem: Column, ordinal: Column, code: Column, name: Column, flagged: Column) -> Column:
@@ -23,8 +24,9 @@ def manifest(docs: DataFrame) -> DataFrame:
     return docs.withColumn("out_name", output_name(F.col("file"), F.col("ordinal"), F.col("code"), F.col("name"), F.col("flagged"))).withColumn("pages", T.range_label(F.col("start"), F.col("end")))
 
 
-def write_manifest(docs: DataFrame, path: str) -> None:
-    manifest(docs).write.mode("append").partitionBy("file").parquet(path)
+def write_manifest(docs: DataFrame, path: str, run: str = "0") -> bool:
+    """Publishes a run's manifest as a whole; False (and nothing is written) if that run is there already."""
+    return publish(manifest(docs), path, run)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
