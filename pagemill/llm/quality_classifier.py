@@ -19,7 +19,8 @@ Defined results: null and empty texts have all features 0 and are scored like an
 row; very long texts are read whole; an empty table gives none; rows with a null or
 repeated doc_id are scored each; null labels are not used; a document without label is scored; a label
 repeated for a document counts each time; without labels of both kinds every
-score is the labels' mean (0.5 without labels); extra columns are ignored.
+score is the labels' mean (0.5 without labels); extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

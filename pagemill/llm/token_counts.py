@@ -10,8 +10,9 @@ fixed size.  Counts of white-space words are remembered per Python worker up to
 ``MEMO`` words, then forgotten, so memory stays bounded on any corpus.
 
 Defined results: null and empty texts have 0 tokens and 0 bytes; texts are
-counted whole, whatever their length; repeated rows each get a row; extra
-columns are ignored.
+counted whole, whatever their length; repeated rows each get a row, rows with a null
+doc_id or equal ones too; of pairs of equal rank the leftmost merges first; an empty
+table gives none; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

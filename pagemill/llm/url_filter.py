@@ -44,21 +44,21 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def match_rules(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame) -> DataFrame:
     """Adds ``rule`` and ``rule_verdict`` (null where no rule fits) to rows with host and path.
 
-    A DataFrame of (rule, verdict), or a list above ``CASE_RULES``, is joined on
+    A rule without ``/`` is about its whole host.  A DataFrame of (rule, verdict), or a list above ``CASE_RULES``, is joined on
     the host's suffixes; there each page meets as many keys as its host has labels.
     """
     spark = pages.sparkSession
     if isinstance(rules, list) and len(rules) <= CASE_RULES:
         rule = verdict = F.lit(None).cast("string")
-        for r, v in sorted(rules, key=lambda x: (len(x[0]), x[0].index("/"), x[1] == "block")):  # the last is tested first
-            h, p = r.split("/", 1)
+        for r, v in sorted(rules, key=lambda x: (len(x[0]), len(x[0].split("/")[0]), x[1] == "block")):  # the last is tested first
+            h, _, p = r.partition("/")
             fits = ((F.col("host") == h) | F.endswith(F.col("host"), F.lit(f".{h}"))) & F.startswith(F.col("path"), F.lit(f"/{p}"))
             rule, verdict = F.when(fits, r).otherwise(rule), F.when(fits, v).otherwise(verdict)
         return pages.withColumn("rule", rule).withColumn("rule_verdict", verdict)
     table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "rule string, verdict string")
     table = table.select(
         F.substring_index("rule", "/", 1).alias("suffix"),
-        F.expr("substring(rule, instr(rule, '/'))").alias("start"),
+        F.expr("case when instr(rule, '/') = 0 then '/' else substring(rule, instr(rule, '/')) end").alias("start"),
         F.col("rule").alias("__rule"),
         F.col("verdict").alias("__verdict"),
     )

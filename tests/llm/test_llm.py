@@ -368,9 +368,12 @@ def every_window(docs, bench):
     out = {}
     for d, t in docs:
         h = shingles(cut(t))
+        have = collections.Counter(h)
         for i, x in bench:
             item = shingles(cut(x))
             b, m, best = collections.Counter(item), len(item), (0, 0)
+            if not m or sum((have & b).values()) < 0.4 * m:  # no window can hold enough
+                continue
             for s in range(max(1, len(h) - m + 1)):
                 a = collections.Counter(h[s : s + m])
                 both = sum((a & b).values())
@@ -591,6 +594,15 @@ def test_url_rules_joined_or_inline(spark):
     assert a == {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, labels, table).collect()}
 
 
+def test_url_rules_without_a_path(spark):
+    """Such a rule is about its whole host, inline and joined."""
+    pages = spark.createDataFrame([(0, "a.com", "/x"), (1, "b.a.com", "/"), (2, "a.com", ""), (3, "ba.com", "/x"), (4, "a.com", "/en/1")], "page_id long, host string, path string")
+    rules = [("a.com", "block"), ("a.com/en/", "allow")]
+    for r in (rules, spark.createDataFrame(rules, "rule string, verdict string")):
+        got = {x["page_id"]: (x["rule"], x["rule_verdict"]) for x in url_filter.match_rules(pages, r).collect()}
+        assert got == {0: ("a.com", "block"), 1: ("a.com", "block"), 2: (None, None), 3: (None, None), 4: ("a.com/en/", "allow")}
+
+
 def test_url_rule_ties(spark):
     """Equal lengths: the longer host wins, then block; the same inline and joined."""
     pages = spark.createDataFrame([(1, "http://b.net/e/x"), (2, "http://c.net/e/x"), (3, "http://b.net/"), (None, "http://b.net/e/")], "page_id long, url string").withColumn("rule", F.lit("clash")).withColumn("host", F.lit(1))
@@ -912,6 +924,46 @@ def test_decontaminate_tells_rows_apart(spark):
 # pipeline -----------------------------------------------------------------------------
 
 
+def brute_quality(rows, max_docs=30):
+    """doc_id -> text of what the rules keep: base rules on one text, then lines in more than ``max_docs`` texts of a host."""
+    words = lambda t: [w for w in re.split("[ \t-\r]+", t or "") if w]
+    norm = lambda line: " ".join(words(re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+    texts, first = collections.defaultdict(set), {}
+    for i, host, t in rows:
+        for line in (t or "").split("\n"):
+            if n := norm(line):
+                texts[host, n].add(t)
+                first[host, n] = min(i, first.get((host, n), i))
+    out = {}
+    for i, host, t in rows:
+        ws = words(t)
+        at = collections.defaultdict(list)
+        for k in range(len(ws) - 4):
+            at[tuple(ws[k : k + 5])].append(k)
+        repeated = {k + j for ks in at.values() if len(ks) > 1 for k in ks for j in range(5)}
+        if len(ws) < 10 or 100 * len(repeated) > 20 * len(ws):
+            continue
+        lines = t.split("\n")
+        cut = [bool(norm(x)) and len(texts[host, norm(x)]) > max_docs and first[host, norm(x)] != i for x in lines]
+        if 100 * sum(len(words(x)) for x, c in zip(lines, cut) if c) <= 50 * len(ws):
+            out[i] = "\n".join(x for x, c in zip(lines, cut) if not c)
+    return out
+
+
+def test_quality_against_brute_force(spark):
+    """Lines above the limit, depleted texts, repeats and short texts of a hot host."""
+    rnd = random.Random(41)
+    lines = [prose(rnd, rnd.randint(3, 12)) for _ in range(40)]
+    rows = []
+    for i in range(360):
+        own = [prose(rnd, rnd.randint(2, 30)) for _ in range(rnd.choice([0, 1, 2]))]
+        rows.append((i, rnd.choice(["hot", "hot", "hot", "b"]), "\n".join(own + rnd.sample(lines[: rnd.choice([3, 40])], rnd.choice([0, 1, 3])) + [prose(rnd, 6)] * rnd.choice([0, 0, 3]))))
+    docs = spark.createDataFrame([(i, t, "en", h, len(t)) for i, h, t in rows], SCHEMA)
+    want = brute_quality(rows)
+    assert {r["doc_id"]: r["text"] for r in quality_rules.clean(docs).collect()} == want
+    assert 0 < len(want) < len(rows) and any(want[i] != t for i, _, t in rows if i in want)
+
+
 def test_pipeline(spark, sf):
     """run() against the stages' meaning, computed without Spark where that is short."""
     import tiktoken
@@ -920,7 +972,7 @@ def test_pipeline(spark, sf):
     stages = dict(corpus_pipeline.STAGES)
     d0 = spark.read.parquet(f"{sf}/documents.parquet")
     d1 = stages["quality rules"](spark, d0, sf).collect()
-    assert {r["doc_id"] for r in d1} == {r["doc_id"] for r in quality_rules.judge(d0).where("kept").collect()}
+    assert {r["doc_id"]: r["text"] for r in d1} == brute_quality([(r["doc_id"], r["source"], r["text"]) for r in docs.values()])
     want = brute_components([(r["doc_id"], r["text"]) for r in d1])
     keep = {i for i, (_, c) in want.items() if i == c}
     old = {r["doc_id"]: r["text"] for r in d1 if r["doc_id"] in keep}
@@ -930,7 +982,8 @@ def test_pipeline(spark, sf):
     d3 = stages["substring dedup"](spark, d0.where(F.col("doc_id").isin([-1])).union(spark.createDataFrame([(i, t, "", "", 0) for i, t in old.items()], SCHEMA)), sf).collect()
     assert {r["doc_id"]: re.findall("[^ \t-\r]+", r["text"]) for r in d3} == text
     text = {r["doc_id"]: r["text"] for r in d3}
-    bad = {r["doc_id"] for r in decontaminate.matches(make(spark, []).union(spark.createDataFrame([(i, t, "", "", 0) for i, t in text.items()], SCHEMA)), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    bad = {d for d, _ in every_window([(i, t) for i, t in text.items() if t], bench)}
     enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_bpe.load_ranks(queries.tokenizer("byte_bpe_50k.tiktoken")), special_tokens={})
     out = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf).collect()}
     assert out == {i: len(enc.encode_ordinary(t)) for i, t in text.items() if i not in bad}
