@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .scoring import counts, prf, runs
@@ -123,6 +124,24 @@ def infer(requests: DataFrame, provider: Callable[[list[str]], list[str | None]]
     return requests.select("key", "prompt").mapInPandas(run, "key string, raw string")
 
 
+def corroborate(pages: DataFrame, provider: Callable[[pd.DataFrame], list[tuple[bool, int | None, float] | None]]) -> DataFrame:
+    """Adds corr_rotated, corr_deg and corr_conf to pages: ``provider`` sees a batch of rows and says of each (rotated, degrees or None, confidence), or None.
+
+    The seam for any second opinion on rotation; a page without one has nulls, as
+    ``functions.verdicts.corroborated_rotation`` takes them.
+    """
+    kept = pages.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = [x or (None, None, None) for x in provider(b)]
+            cols = (pd.array([x[k] for x in said], dtype=t) for k, t in ((0, "boolean"), (1, "Int32"), (2, "Float64")))
+            yield b[kept].assign(**dict(zip(("corr_rotated", "corr_deg", "corr_conf"), cols, strict=True)))
+
+    schema = T.StructType([*pages.schema.fields, T.StructField("corr_rotated", T.BooleanType()), T.StructField("corr_deg", T.IntegerType()), T.StructField("corr_conf", T.DoubleType())])
+    return pages.mapInPandas(run, schema)
+
+
 def close_at_marker(starts: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds ``suppressed`` to candidates (file, page): between a typed start and its closing marker no document starts.
 

@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..sources.folders import stored
+from .scan import scan
 
 #: Rarest trigrams of a title that are looked up first; entries in a block.
 PROBES, BLOCK = 3, 256
@@ -177,13 +178,12 @@ def read_entries(rows: DataFrame, sheet_types: list[str]) -> DataFrame:
     """A table of codes (idx, raw_code, name) as entries: idx, code, name, category, squashed, tokens, is_sheet_type.
 
     A row whose code is a multiple of 1000 names the category of those from it on; rows
-    without a name are dropped after that, codes that are no numbers are null.  The
-    order of some hundred rows is one window.
+    without a name are dropped after that, codes that are no numbers are null.  A
+    table of any length is scanned in parts.
     """
-    w = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     name = F.regexp_replace(F.coalesce("name", F.lit("")), "^(?U:\\s)+|(?U:\\s)+$", "")
     d = rows.select("idx", F.col("raw_code").try_cast("double").cast("int").alias("code"), name.alias("name"))
-    d = d.withColumn("category", F.last(F.when(F.col("code") % 1000 == 0, F.col("name")), ignorenulls=True).over(w)).where("name <> ''")
+    d = scan(d, [], ["idx"], category=("last", F.when(F.col("code") % 1000 == 0, F.col("name")))).where("name <> ''")
     d = d.withColumn("tokens", T.title_tokens(F.col("name"), compose=True)).withColumn("squashed", T.squash(F.col("tokens")))
     known = rows.sparkSession.createDataFrame([(x,) for x in sheet_types], "sheet string").select(T.squash(T.title_tokens(F.col("sheet"), compose=True)).alias("squashed"), F.lit(True).alias("__sheet")).distinct()
     return d.join(known, "squashed", "left").select("idx", "code", "name", "category", "squashed", "tokens", F.coalesce("__sheet", F.lit(False)).alias("is_sheet_type"))

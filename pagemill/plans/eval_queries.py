@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import verdicts as V
 from ..operators import evaluation as E
 from ..operators import matching as M
 from ..operators import scoring as S
@@ -101,6 +102,20 @@ def provider_answers(spark, sf):
     return done.select("key", "raw", F.lit(False).alias("asked")).unionByName(E.infer(todo, lambda prompts: [str(len(p)) for p in prompts]).withColumn("asked", F.lit(True)))
 
 
+@query("""select page_id, (page_id % 4 * 90)::int as model_deg, case when page_id % 5 <> 0 then length(url) % 2 = 1 end as corr_rotated, case when page_id % 5 <> 0 and length(url) % 4 = 1 then (length(url) % 3 * 90 + 90)::int end as corr_deg,
+  case when page_id % 5 = 0 or length(url) % 2 = 0 then 0 when page_id % 4 <> 0 then page_id % 4 * 90 when length(url) % 4 = 1 then length(url) % 3 * 90 + 90 else 90 end::int as deg from pages""")
+def rotation_second_opinion(spark, sf):
+    """2.11: a pluggable corroborator says whether a page is turned, and by what angle if it knows; the model's angle needs its consent."""
+
+    def provider(b):
+        n = b["url"].str.len()
+        return [None if i % 5 == 0 else (k % 2 == 1, int(k % 3 * 90 + 90) if k % 4 == 1 else None, 0.9) for i, k in zip(b["page_id"], n, strict=True)]
+
+    p = E.corroborate(table(spark, sf, "pages").select("page_id", "url", (F.col("page_id") % 4 * 90).cast("int").alias("model_deg")), provider)
+    deg = V.corroborated_rotation(F.col("model_deg"), F.col("corr_rotated"), F.col("corr_deg"))
+    return p.select("page_id", "model_deg", "corr_rotated", "corr_deg", deg.cast("int").alias("deg"))
+
+
 @query("""with r as (select (p_partkey - 1)::int as idx, case when p_partkey % 10 = 1 then (p_partkey // 10 * 1000)::varchar when p_partkey % 10 = 7 then 'n/a' else (p_partkey // 10 * 1000 + p_partkey % 10)::varchar || '.0' end as raw, case when p_partkey % 13 = 0 then '  ' else p_name end as name from part),
   c as (select *, try_cast(try_cast(raw as double) as int) as code from r), f as (select *, last_value(case when code % 1000 = 0 then trim(name) end ignore nulls) over (order by idx) as category from c)
   select idx, code, trim(name) as name, category, replace(lower(trim(name)), ' ', '') in ('redbolt', 'smallring') as is_sheet_type from f where trim(name) <> ''""")

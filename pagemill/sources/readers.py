@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.scan import scan
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j"))
@@ -100,4 +101,5 @@ def piece_starts(paths: DataFrame) -> DataFrame:
 def nomenclature_rows(spark: SparkSession, path: str) -> DataFrame:
     """(idx, raw_code, name) of a CSV file without header, in its order (see ``operators.matching.read_entries``)."""
     t = spark.read.csv(path, schema="raw_code string, name string")
-    return t.select((F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).alias("idx"), "raw_code", "name")
+    placed = t.select("*", F.monotonically_increasing_id().alias("__at"))
+    return scan(placed, [], ["__at"], idx=("count_before", F.lit(1))).select(F.col("idx").cast("int").alias("idx"), "raw_code", "name")
