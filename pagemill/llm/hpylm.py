@@ -34,7 +34,8 @@ shard alone and types are sorted before, so reruns of lost tasks agree.
 
 Documents are told by task and number.  Should a lost executor's task run again on rows
 in another order (input that comes out of a shuffle, not out of files), a document's
-token count no longer fits and the job fails with that message.
+token count or the 16-bit check sum of its tokens no longer fits and the job fails with
+that message.
 
 The ``COMMON`` most frequent words travel as 16-bit codes, all others as 48-bit hashes;
 this table and the split contexts (at most a few per shard) are all that is broadcast.
@@ -90,6 +91,11 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return w, u1, u2, sizes
 
 
+def _checks(w: np.ndarray, u1: np.ndarray, u2: np.ndarray) -> np.ndarray:
+    """16 bits of every token and the two before it; their sum tells texts apart."""
+    return (w * np.uint64(0x9E3779B97F4A7C15) + u1 * np.uint64(0xC2B2AE3D27D4EB4F) + u2 * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)
+
+
 def _flushes(batches: Iterator[pa.RecordBatch]):
     """Runs of rows with about ``FLUSH`` tokens: ids and texts."""
     ids, texts, held = [], [], 0
@@ -218,6 +224,7 @@ def _deal(plan, doc_bits: int):
         for ids, texts in _flushes(batches):
             w, u1, u2, sizes = _tokens(texts)
             owner = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
+            check = np.add.reduceat(_checks(w, u1, u2), np.cumsum(sizes) - sizes).astype(np.uint16)
             shard = p.route(u1, u2, owner.astype(np.uint64) + np.uint64(uid))
             order = np.argsort(shard, kind="stable")
             shard, owner = shard[order], owner[order]
@@ -231,7 +238,7 @@ def _deal(plan, doc_bits: int):
             for b in np.unique(home).tolist():
                 k = np.flatnonzero(home == b)
                 keys.append(-1 - b)
-                values.append(blobs.pack(own[k], known[k], out[k], sizes[k].astype(np.uint32), rising=(0,)))
+                values.append(blobs.pack(own[k], known[k], out[k], sizes[k].astype(np.uint32), check[k], rising=(0,)))
             for a, b in zip(at, at[1:], strict=False):
                 here = np.unique(owner[a:b])
                 coded = [x for c in cols for x in p.encode(c[a:b])]
@@ -626,12 +633,14 @@ def _score_shard(plan, doc_bits: int):
         if shard < 0:
             return _rows([-1 - shard] * len(dealt), dealt["blob"].to_pylist(), "bucket")
         t = Tokens(p, dealt["blob"].to_pylist())
+        k = len(t.uid)
+        check = np.bincount(t.owner, _checks(t.w, t.u1, t.u2), k).astype(np.int64).astype(np.uint16)
         leaf = Leaf([t.take(x) for x in ("w", "u1", "u2")], ~t.held[t.owner])
         mean, counts, totals = predictive(p, shard, leaf, heard["blob"].to_pylist())
         score = np.log10(mean)
         base = np.log10((counts + 0.5) / (p.n + 0.5 * (totals["v"] + 1)))[leaf.word]
         known = (counts > 0)[leaf.word]
-        k, of = len(t.uid), leaf.of_token
+        of = leaf.of_token
         sums = [np.bincount(t.owner, x, k) for x in (None, known[of], base[of], score[of])]
         bucket = doc_bucket(t.uid, doc_bits)
         order = np.lexsort((t.uid, bucket))
@@ -642,7 +651,7 @@ def _score_shard(plan, doc_bits: int):
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             o = order[cuts[b] : cuts[b + 1]]
             keys.append(b)
-            values.append(blobs.pack(t.uid[o], sums[0][o].astype(np.uint32), sums[1][o].astype(np.uint32), fixed[o], sums[3][o].astype(np.float32), rising=(0,)))
+            values.append(blobs.pack(t.uid[o], sums[0][o].astype(np.uint32), sums[1][o].astype(np.uint32), fixed[o], sums[3][o].astype(np.float32), check[o], rising=(0,)))
         return _rows(keys, values, "bucket")
 
     return run
@@ -653,13 +662,13 @@ def _sum_docs(total: int):
 
     def run(t: pa.Table) -> pa.Table:
         parts = [blobs.unpack(v) for v in t["blob"].to_pylist()]
-        uid, doc, held, size = (np.concatenate(x) for x in zip(*[p for p in parts if len(p) == 4], strict=True))
-        share = [np.concatenate(x) for x in zip(*[p for p in parts if len(p) == 5], strict=True)]
+        uid, doc, held, size, check = (np.concatenate(x) for x in zip(*[p for p in parts if len(p) == 5], strict=True))
+        share = [np.concatenate(x) for x in zip(*[p for p in parts if len(p) == 6], strict=True)]
         order = np.argsort(uid)
-        uid, doc, held, size = uid[order], doc[order], held[order], size[order]
+        uid, doc, held, size, check = (x[order] for x in (uid, doc, held, size, check))
         at = np.searchsorted(uid, share[0])
-        n, known, base, score = (np.bincount(at, x, len(uid)) for x in share[1:])
-        if (n != size).any():
+        n, known, base, score, told = (np.bincount(at, x, len(uid)) for x in share[1:])
+        if (n != size).any() or (told.astype(np.int64).astype(np.uint16) != check).any():
             raise RuntimeError("tokens were dealt anew from rows in another order; store the input before scoring it")
         cols = {
             "doc_id": pa.array(doc, pa.int64(), mask=doc == NO_ID), "held_out": pa.array(held == 1), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),

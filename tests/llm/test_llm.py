@@ -276,6 +276,27 @@ def plain_sampler(train, test, sweeps=40):
     return sum(map(math.log10, total.values())) / len(total)
 
 
+def test_hpylm_notices_another_order():
+    """Shares of documents of equal length, dealt again in another order, do not pass for each other's."""
+    texts = ["a b c d", "e f g h", "a b c d"]
+
+    def parts(order):
+        p, dealt, heard, _ = rounds_here([texts[i] for i in order], 4)
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(order, pa.int64()), "text": pa.array([texts[i] for i in order])})
+        docs = [v for k, v in zip(*pa.Table.from_batches(list(hpylm._deal(Here(p), 0)(iter([batch])))).to_pydict().values(), strict=True) if k < 0]
+        shares = [v for s, t in dealt.items() for v in hpylm._score_shard(Here(p), 0)(t, heard[s])["blob"].to_pylist()]
+        return docs, shares
+
+    def put(docs, shares):
+        blobs = docs + shares
+        return hpylm._sum_docs(1)(pa.table({"bucket": [0] * len(blobs), "blob": pa.array(blobs, pa.binary())})).to_pydict()
+
+    docs, shares = parts([0, 1, 2])
+    assert put(docs, shares)["n_tokens"] == [5, 5, 5]
+    with pytest.raises(RuntimeError, match="another order"):
+        put(docs, parts([1, 0, 2])[1])
+
+
 def test_hpylm_against_a_plain_sampler(spark, monkeypatch):
     """The same held-out perplexity, whole or dealt over many shards with split contexts."""
     texts = mixed_texts(random.Random(6), 120, 20)
