@@ -1,6 +1,6 @@
 """Queries over logs: lines made from the events table in the forms of detection and test logs.
 
-Every user's events with the same remainder are one log; the same SQL text makes the
+Every user's events are one log; the same SQL text makes the
 lines for both engines, the reading of them is written twice.
 """
 
@@ -14,7 +14,7 @@ from ..operators import scoring as S
 from ..sources import detection_log as G
 from .queries import query, table
 
-LOG = """select 'log' || cast(user_id % 5 as string) as source, cast(row_number() over (partition by user_id % 5 order by ts, event_id) as int) as line_no,
+LOG = """select 'log' || cast(user_id as string) as source, cast(row_number() over (partition by user_id order by ts, event_id) as int) as line_no,
   case event_id % 17 when 0 then ' Image_' || cast(event_id % 40 as string) || '.pdf ' when 1 then '  Checking page ' || cast(event_id * 5 % 12 as string)
     when 2 then '    p' || cast(event_id * 7 % 12 as string) || ': end=True, signal=' || case event_id % 2 when 0 then 'signature_block' else 'table_end' end || ', signal_on_page=' || cast(event_id * 7 % 12 + event_id % 3 as string) || ', conf=80%'
     when 3 then '    End at page 3 → doc starts at page ' || cast(event_id * 7 % 12 as string) || ' (conf=' || cast(event_id % 100 as string) || '%, signal=' || case event_id % 3 when 0 then 'signature_block' else 'titled_id_header' end || ')'
@@ -161,7 +161,7 @@ def signature_false_positives(spark, sf):
     return E.signature_triage(_compared(lines, sec), sec)
 
 
-RUN_LOG = """select 'run' || cast(user_id % 4 as string) as source, cast(row_number() over (partition by user_id % 4 order by ts, event_id) as int) as line_no,
+RUN_LOG = """select 'run' || cast(user_id as string) as source, cast(row_number() over (partition by user_id order by ts, event_id) as int) as line_no,
   case when event_id % 7 < 6 then {clock} || ' ' else '' end || case event_id % 6 when 0 then 'File  : /data/case/Image_' || cast(event_id % 50 as string) || '.pdf' when 1 then 'end-of-document detection (' || cast(event_id % 40 as string) || ' pages)'
     when 2 then 'Boundaries — TP=3 FP=1 FN=0 P=75% F1=' || cast(event_id % 101 as string) || '%' when 3 then 'Rotations  — TP=' || cast(event_id % 2 as string) || ' FP=0 FN=' || cast(event_id % 5 % 2 as string) || ' F1=' || cast(event_id * 3 % 101 as string) || '%' else 'note' end as line
   from events"""
