@@ -558,10 +558,10 @@ def signal_attribution(spark, sf):
 @query("""select url as path from pages where url in (select url from pages where page_id % 3 = 0) or regexp_extract(url, '://[^/]*(/.*)$', 1) in (select regexp_extract(url, '://[^/]*(/.*)$', 1) from pages where page_id % 7 = 0)""")
 def shard_filter(spark, sf):
     """O-S3: inputs listed by absolute or relative path."""
-    rel = F.regexp_extract("url", "://[^/]*(/.*)$", 1)
+    rel = F.regexp_extract("url", r"://[^/]*(/[^\n]*)\z", 1)  # only a line feed ends a line, and nothing may follow the path
     p = table(spark, sf, "pages").select(F.col("url").alias("path"), rel.alias("rel_path"), "page_id")
-    listed = p.where("page_id % 3 = 0").select(F.col("path").alias("name")).union(p.where("page_id % 7 = 0").select(F.col("rel_path").alias("name")))
-    return sinks.shard(p.drop("page_id"), listed).select("path")
+    listed, listed_rel = p.where("page_id % 3 = 0").select(F.col("path").alias("name")), p.where("page_id % 7 = 0").select(F.col("rel_path").alias("name"))
+    return sinks.shard(p.drop("page_id"), listed, listed_rel).select("path")
 
 
 @query("""with i as (select 'c_' || c_custkey as stem from customer), o as (select 'c_' || o_custkey || '_' || o_orderkey as name from orders where o_orderkey % 2 = 0)

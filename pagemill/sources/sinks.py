@@ -51,11 +51,15 @@ def unfinished(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     return inputs.join(stems, "stem", "left_anti")
 
 
-def shard(inputs: DataFrame, listed: DataFrame) -> DataFrame:
-    """Inputs (path, rel_path) named in a list (name) by either path."""
-    both = listed.select(F.col("name").alias("__n")).distinct()
-    a = inputs.join(both, F.col("path") == F.col("__n"), "left_semi")
-    return a.union(inputs.join(both, F.col("rel_path") == F.col("__n"), "left_semi")).distinct()
+def shard(inputs: DataFrame, listed: DataFrame, listed_rel: DataFrame | None = None) -> DataFrame:
+    """Inputs (path, rel_path) named in a list (name) by either path; every such row once, equal rows as often as they are there.
+
+    With a second list the first names absolute paths and the second relative ones; without it one list names both.
+    """
+    kept = inputs.where("path is not null or rel_path is not null")
+    for col, names in (("path", listed), ("rel_path", listed if listed_rel is None else listed_rel)):
+        kept = kept.join(names.select(F.col("name").alias(f"__{col}")).distinct(), F.col(col) == F.col(f"__{col}"), "left")
+    return kept.where("__path is not null or __rel_path is not null").drop("__path", "__rel_path")
 
 
 def write_evaluation_set(path: str, truth: DataFrame, strata: DataFrame, masks: DataFrame) -> None:
